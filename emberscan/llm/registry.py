@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_linededup, q_urlfilter
+from . import q_chat, q_linededup, q_ngramjoin, q_packing, q_urlfilter
 
 
 def queries() -> dict:
     return {
+        "op4_pack": q_packing.op4_pack,
         "op7_chat_format": q_chat.op7_chat_format,
         "op8_line_dedup": q_linededup.op8_line_dedup,
         "op9_url_filter": q_urlfilter.op9_url_filter,
+        "op10_ngram_jaccard": q_ngramjoin.op10_ngram_jaccard,
     }
 
 
