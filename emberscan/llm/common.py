@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,42 @@ def sampled(df: DataFrame, key: Column, rows: int, seed: int = 7) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1_000_003)), h, key).limit(rows)
 
 
+#: Bits of a bitmap filter, whatever the input's size (1 MiB).
+FILTER_BITS = 1 << 23
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.uint64)
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(41)).astype(np.int64)
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """Bitmap over a frame of one column of 64-bit hashes.
+
+    Built on the executors; the driver gets its used words alone, at most
+    ``FILTER_BITS`` / 64 of them.  It only spares work: a full one lets all pass.
+    """
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = _slots(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = bits.view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "bits"])
+
+    got = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return words.view(np.uint8)
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slots(h)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) long links -> (id, component), component = smallest id reached.
 

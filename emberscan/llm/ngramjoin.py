@@ -42,15 +42,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import checkpoint, connected_components, text_hash
+from .common import checkpoint, connected_components, hash_filter, in_filter, text_hash
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
 TILE, SMALL = 1 << 20, 1 << 10
 #: Largest number of bits of a set's bitmap.
 MAX_BITS = 1 << 15
-#: Bits of the fixed-size filter over candidates, whatever the input's size.
-FILTER_BITS = 1 << 23
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, keys array<long>"
 
@@ -116,43 +114,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _slot(doc_id, hashed):
-    with np.errstate(over="ignore"):
-        return (tv.mix(doc_id.astype(np.uint64) * _C1 + hashed.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """Fixed-size bitmap over (doc_id, text_hash); only its own words come to the driver."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            at = _slot(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "bits"])
-
-    rows = ids.select("doc_id", "text_hash").mapInArrow(run, "word long, bits long")
-    got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return words.view(np.uint8)
-
-
 def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(id, shingles) of the members (doc_id, text_hash, id), from a second pass over the texts.
 
     A broadcast bitmap of fixed size spares the shuffle of texts that are no
     member's; the join removes what passed it by chance.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(members))
+    pair = F.xxhash64("doc_id", "text_hash")
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(pair)))
 
     def run(batches):
         for batch in tv.batches(batches):
-            ids, hashed = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            at = _slot(ids, hashed)
-            hit = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(in_filter(bits.value, batch.column(3).to_numpy(zero_copy_only=False)))
             if not len(hit):
                 continue
             batch = batch.take(pa.array(hit))
@@ -165,7 +138,7 @@ def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "text_hash", "shingles"],
                 )
 
-    sets = _texts(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, shingles binary")
+    sets = _texts(docs).filter("doc_id is not null").withColumn("_pair", pair).mapInArrow(run, "doc_id long, text_hash long, shingles binary")
     return sets.join(members.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "shingles")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_linededup, q_ngramjoin, q_packing, q_urlfilter
+from . import q_chat, q_decontam, q_langid, q_linededup, q_ngramjoin, q_packing, q_quality, q_urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_quality": q_quality.op1_quality,
+        "op3_decontaminate": q_decontam.op3_decontaminate,
         "op4_pack": q_packing.op4_pack,
+        "op6_language_id": q_langid.op6_language_id,
         "op7_chat_format": q_chat.op7_chat_format,
         "op8_line_dedup": q_linededup.op8_line_dedup,
         "op9_url_filter": q_urlfilter.op9_url_filter,
