@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_decontam, q_langid, q_linededup, q_ngramjoin, q_packing, q_quality, q_urlfilter
+from . import q_chat, q_decontam, q_langid, q_linededup, q_ngramjoin, q_packing, q_quality, q_toxicity, q_urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_quality": q_quality.op1_quality,
+        "op2_toxicity": q_toxicity.op2_toxicity,
         "op3_decontaminate": q_decontam.op3_decontaminate,
         "op4_pack": q_packing.op4_pack,
         "op6_language_id": q_langid.op6_language_id,
