@@ -9,8 +9,8 @@ Exception phrases are entries too: what lies inside one does not count.
 
 A document's different hits give the total weight, the total by the square root
 of its length, their number and the largest weight; a logistic curve over these,
-fitted in numpy on a third of the sample that the lexicon has not seen, makes the
-score.
+fitted in numpy, makes the score.  For this fit a document is measured by a lexicon
+learned from the two thirds of the sample that it is not in.
 
 Defined results: a null or empty text has no hits and gets the score of no hits;
 without labelled rows of both classes the score is the smoothed share of label 1,
@@ -37,8 +37,6 @@ from .common import sampled
 #: Bounds of what a fit sees, and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, CANDIDATES, ENTRIES = 4000, 8000, 30_000, 4000
 STEMS, LEAST_DOCS, LEAST_WEIGHT = (4, 5), 3, 1.5
-#: With fewer toxic documents than this, lexicon and curve learn from all of them.
-SPLIT_FROM = 150
 
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 HOMOGLYPHS = {
@@ -143,69 +141,92 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
+FOLDS = 3
+_COUNTS = "term string, fold int, n long"
+
+
 def _term_counts(only: set[str] | None):
+    """Arrow batches (text, fold) -> documents per (term, fold)."""
+
     def run(batches):
         count: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0):
+            for t, k in zip(batch.column(0), batch.column(1).to_pylist()):
                 got = terms(fold(t.as_py()))
-                count.update(got if only is None else got & only)
+                count.update((x, k) for x in (got if only is None else got & only))
         keys = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([count[k] for k in keys], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())],
+            ["term", "fold", "n"],
+        )
 
     return run
 
 
+def _by_fold(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(
+        F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"f{k}") for k in range(FOLDS)]
+    )
+
+
+def learn_lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> Lexicon:
+    """Entries from documents per term among ``n_toxic`` and ``n_clean`` documents."""
+    least = LEAST_DOCS if n_toxic >= 100 else 2
+    weights = {}
+    for term, k in toxic.items():
+        if k < least:
+            continue
+        w = math.log((k + 0.5) / (n_toxic + 1)) - math.log((clean.get(term, 0) + 0.5) / (n_clean + 1)) - 1 / math.sqrt(k)
+        if w >= LEAST_WEIGHT:
+            weights[term] = w
+    top = sorted(weights, key=lambda t: (-weights[t] * toxic[t], t))[:ENTRIES]
+    return Lexicon({t: round(weights[t], 6) for t in sorted(top)})
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic") -> Model:
     rows = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     rows = rows.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
     parts = [sampled(rows.filter(F.col("label") == k), F.col("doc_id"), n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    chosen = parts[0].unionByName(parts[1]).withColumn("late", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0)
+    chosen = parts[0].unionByName(parts[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int"))
     # the broadcast side is bounded by the two sample sizes
-    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "late")
-    n = {(r["label"], r["late"]): r["count"] for r in seen.groupBy("label", "late").count().collect()}
-    split = n.get((1, False), 0) + n.get((1, True), 0) >= SPLIT_FROM and n.get((0, True), 0) >= SPLIT_FROM
-    tox, clean = (n.get((k, False), 0) + (0 if split else n.get((k, True), 0)) for k in (1, 0))
-    total = sum(n.values())
-    share = (n.get((1, False), 0) + n.get((1, True), 0) + 0.5) / (total + 1)
-    if not tox or not clean:
-        share = min(share, 0.49) if not tox else share
+    seen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "fold")
+    size = np.zeros((2, FOLDS), int)
+    for r in seen.groupBy("label", "fold").count().collect():
+        size[r["label"], r["fold"]] = r["count"]
+    n_clean, n_toxic = (int(x) for x in size.sum(axis=1))
+    if not n_toxic or not n_clean:
+        share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+        share = share if n_toxic else min(share, 0.49)
         return Model(Lexicon({}), np.zeros(4), math.log(share / (1 - share)))
-    least = LEAST_DOCS if tox >= 100 else 2
-    early = seen.filter("not late") if split else seen
-    found = (
-        early.filter("label = 1").select("text").mapInArrow(_term_counts(None), "term string, n long")
-        .groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    )
-    toxic = {r["term"]: r["n"] for r in found}
-    only = docs.sparkSession.sparkContext.broadcast(set(toxic))
+    found = _by_fold(seen.filter("label = 1").select("text", "fold").mapInArrow(_term_counts(None), _COUNTS))
+    found = found.filter(F.col("n") >= 2).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
+    only = docs.sparkSession.sparkContext.broadcast({r["term"] for r in found})
 
     def count_clean(batches):
         yield from _term_counts(only.value)(batches)
 
-    other = early.filter("label = 0").select("text").mapInArrow(count_clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    other = {r["term"]: r["n"] for r in other}
-    weights = {}
-    for term, k in toxic.items():
-        w = math.log((k + 0.5) / (tox + 1)) - math.log((other.get(term, 0) + 0.5) / (clean + 1)) - 2 / math.sqrt(k)
-        if w >= LEAST_WEIGHT:
-            weights[term] = w
-    top = sorted(weights, key=lambda t: (-weights[t] * toxic[t], t))[:ENTRIES]
-    lexicon = Lexicon({t: round(weights[t], 6) for t in sorted(top)})
+    other = _by_fold(seen.filter("label = 0").select("text", "fold").mapInArrow(count_clean, _COUNTS)).collect()
+
+    def without(k: int | None) -> Lexicon:
+        def left(rows):
+            return {r["term"]: r["n"] - (r[f"f{k}"] if k is not None else 0) for r in rows}
+
+        gone = size[:, k] if k is not None else np.zeros(2, int)
+        return learn_lexicon(left(found), left(other), n_toxic - int(gone[1]), n_clean - int(gone[0]))
+
+    folds = docs.sparkSession.sparkContext.broadcast([without(k) for k in range(FOLDS)])
 
     def measure(batches):
-        auto = lexicon.automaton()
+        auto = [x.automaton() for x in folds.value]
         for batch in batches:
-            x = np.array([measures(auto, t.as_py()) for t in batch.column(0)]).reshape(-1, 4)
+            x = np.array([measures(auto[k], t.as_py()) for t, k in zip(batch.column(0), batch.column(2).to_pylist())]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, k]) for k in range(4)]], ["label", "a", "b", "c", "d"])
 
-    late = seen.filter("late") if split else seen
-    got = late.select("text", "label").mapInArrow(measure, "label int, a double, b double, c double, d double").toPandas()
+    got = seen.select("text", "label", "fold").mapInArrow(measure, "label int, a double, b double, c double, d double").toPandas()
     x, y = got[["a", "b", "c", "d"]].to_numpy(), got["label"].to_numpy(float)
     order = np.lexsort(np.column_stack([x, y]).T)
     coef, bias = fit_curve(x[order], y[order])
-    return Model(lexicon, coef, bias)
+    return Model(without(None), coef, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
