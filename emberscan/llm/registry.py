@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_decontam, q_langid, q_linededup, q_ngramjoin, q_packing, q_quality, q_toxicity, q_urlfilter
+import corpus_pipeline
+
+from . import q_annsearch, q_chat, q_decontam, q_langid, q_linededup, q_ngramjoin, q_packing, q_quality, q_toxicity, q_urlfilter
 
 
 def queries() -> dict:
@@ -11,11 +13,13 @@ def queries() -> dict:
         "op2_toxicity": q_toxicity.op2_toxicity,
         "op3_decontaminate": q_decontam.op3_decontaminate,
         "op4_pack": q_packing.op4_pack,
+        "op5_ann": q_annsearch.op5_ann,
         "op6_language_id": q_langid.op6_language_id,
         "op7_chat_format": q_chat.op7_chat_format,
         "op8_line_dedup": q_linededup.op8_line_dedup,
         "op9_url_filter": q_urlfilter.op9_url_filter,
         "op10_ngram_jaccard": q_ngramjoin.op10_ngram_jaccard,
+        "pipeline": corpus_pipeline.run,
     }
 
 
