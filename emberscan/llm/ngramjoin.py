@@ -10,12 +10,17 @@ words, held as sorted 64-bit hashes.  Two documents link when
 2. Candidate tiles.  Sets of sizes s <= t that link differ in at most
    H = (s + t)(100 - percent) / (100 + percent) shingles.  Sizes fall into
    bands with bounds a factor 100/percent apart, so linked sets lie in the same
-   or neighbouring bands.  For a band with largest size U the hash space is cut
-   into K = floor(2U(100 - percent) / (100 + percent)) + 1 parts: as at most
-   K - 1 parts can differ, at least one part is equal.  A set is filed under each
-   of its parts for its own band (home) and the next larger band (guest), keyed
-   by a hash of (band, part, contents).  No link can be missed, and unrelated
-   texts, even with a common passage, hardly ever share a whole part.
+   or neighbouring bands; a set is filed for its own band and the next larger
+   one, with H taken for the band's largest size.  The hash space is cut into a
+   few more than H parts, and a set's keys are hashes of (band, part, contents)
+   of its parts that are not empty.  At most H parts differ, so if more than H
+   parts of one of two linked sets are not empty, they have a key in common.  A
+   set with fewer such parts is filed by a further level, cut otherwise, too
+   (the last level takes empty parts in); two sets that both fail a level meet
+   in the next, so no link can be missed.  The first level leaves out shingles
+   that a bounded sample of texts shows to be frequent (leaving out the same
+   shingles from both can only make sets differ less), so that a passage which
+   many documents share makes no keys; the sample steers cost, never results.
 3. Sets with a common key are chained to the smallest one in that key (never all
    pairs); connected chains are candidate groups.  A group larger than
    ``TILE`` is cut into tiles by size, and only tiles whose sizes can link meet.
@@ -47,6 +52,10 @@ from .common import checkpoint, connected_components, hash_filter, in_filter, te
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
 TILE, SMALL = 1 << 20, 1 << 10
+#: Ways of cutting sets into parts, each for the sets that all before fail.
+LEVELS = 4
+#: Texts in which frequent shingles are counted, how many must hold one, and how many shingles are kept.
+SAMPLE_TEXTS, FREQUENT_TEXTS, FREQUENT = 4000, 8, 100_000
 #: Largest number of bits of a set's bitmap.
 MAX_BITS = 1 << 15
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -76,7 +85,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def _rows(n: int, percent: int):
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of a bounded sample of different texts hold."""
+    texts = _texts(docs).filter("text is not null").select("text_hash", "text")
+    total = texts.count()
+    slot = F.pmod("text_hash", F.lit(1_000_003))
+    texts = texts.filter(slot < int(1_000_003 * min(1.0, SAMPLE_TEXTS / max(total, 1))) + 1)
+    ids = texts.select("text_hash").distinct().orderBy(slot, "text_hash").limit(SAMPLE_TEXTS)
+
+    def run(batches):
+        for batch in tv.batches(batches):
+            data, offsets = tv.buffers(batch.column(1))
+            for _, _, d, o in tv.blocks(data, offsets):
+                sets = shingle_sets(d, o, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], ["h"])
+
+    # the ids are at most SAMPLE_TEXTS
+    chosen = texts.join(F.broadcast(ids), "text_hash").dropDuplicates(["text_hash"])
+    found = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT_TEXTS)
+    got = found.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(got.astype(np.uint64))
+
+
+def _rows(n: int, percent: int, frequent):
     """Size, fingerprint and part keys of each text's set."""
 
     def run(batches):
@@ -93,7 +124,7 @@ def _rows(n: int, percent: int):
                         fp[k, 1] = np.add.reduce(tv.mix(s ^ _C2)).astype(np.int64)
                         band = band_of(len(s), percent)
                         for c in (band, band + 1):
-                            keys.append(part_keys(s, c, percent))
+                            keys.append(part_keys(s, c, percent, frequent.value))
                             at[k + 1] += len(keys[-1])
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 part = batch.slice(i, j - i)
@@ -151,22 +182,37 @@ def band_of(size: int, percent: int) -> int:
     return b
 
 
-def parts_of_band(band: int, percent: int) -> int:
+def most_differing(band: int, percent: int) -> int:
+    """Shingles in which linked sets of sizes up to the band's largest can differ."""
     largest = math.ceil((100 / percent) ** (band + 1))
-    return 2 * largest * (100 - percent) // (100 + percent) + 1
+    return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def part_keys(s: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """One key per part of the hash space, for a sorted set filed under ``band``."""
-    k = parts_of_band(band, percent)
-    # parts are ranges of the sorted hashes, so that one cumulative xor gives all
-    bounds = (np.arange(1, k, dtype=object) * (1 << 64) // k).astype(np.uint64) if k > 1 else np.zeros(0, np.uint64)
-    cut = np.concatenate([[0], np.searchsorted(s, bounds, "left"), [len(s)]])
-    m = tv.mix(s + _C2)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
-    inside = total[cut[1:]] - total[cut[:-1]]
-    label = np.arange(k, dtype=np.uint64) + np.uint64(band * 1_000_003 % (1 << 62))
-    return tv.mix(tv.mix(label * _C1) ^ (inside * _C2 + (cut[1:] - cut[:-1]).astype(np.uint64))).astype(np.int64)
+def part_keys(s: np.ndarray, band: int, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set filed under ``band``; see the module's text, step 2."""
+    differ = most_differing(band, percent)
+    if not differ:
+        return np.zeros(0, np.int64)  # only equal sets could link
+    k = differ + 2 + differ // 8
+    bounds = (np.arange(1, k, dtype=np.uint64)) * np.uint64((1 << 64) // k)
+    out = []
+    for level in range(0 if len(frequent) else 1, LEVELS):
+        if level == 0:
+            x = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+        else:
+            x = s if level == 1 else np.sort(tv.mix(s + np.uint64(level)))
+        cut = np.concatenate([[0], np.searchsorted(x, bounds, "left"), [len(x)]])
+        count = np.diff(cut)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(x + _C2))])
+        label = np.arange(k, dtype=np.uint64) + np.uint64((band * LEVELS + level) << 32)
+        keys = tv.mix(tv.mix(label * _C1) ^ ((total[cut[1:]] - total[cut[:-1]]) * _C2 + count.astype(np.uint64)))
+        full = count > 0
+        last = level == LEVELS - 1
+        enough = int(full.sum()) > differ
+        out.append(keys if last and not enough else keys[full])
+        if enough:
+            break
+    return np.concatenate(out).astype(np.int64)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -263,7 +309,8 @@ def tile_work(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs``."""
-    rows = checkpoint(_texts(docs).mapInArrow(_rows(n, percent), _ROWS))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+    rows = checkpoint(_texts(docs).mapInArrow(_rows(n, percent, frequent), _ROWS))
     fp = ["fp1", "fp2", "n_shingles"]
     low = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*fp).agg(
         F.min("doc_id").alias("low_id"), F.min_by("text_hash", "doc_id").alias("low_hash")
