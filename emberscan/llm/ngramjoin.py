@@ -21,8 +21,8 @@ words, held as sorted 64-bit hashes.  Two documents link when
    that a bounded sample of texts shows to be frequent (leaving out the same
    shingles from both can only make sets differ less), so that a passage which
    many documents share makes no keys; the sample steers cost, never results.
-3. Sets with a common key are chained to the smallest one in that key (never all
-   pairs); connected chains are candidate groups.  A group larger than
+3. Documents with a common key are chained to the smallest id in that key (never
+   all pairs), and chains carried over to classes; connected chains are candidate groups.  A group larger than
    ``TILE`` is cut into tiles by size, and only tiles whose sizes can link meet.
 4. Inside a tile pair, hashed bitmaps bound overlap from above by bit counts;
    what passes, and is not yet connected inside the tile, is decided by exact
@@ -56,10 +56,12 @@ TILE, SMALL = 1 << 20, 1 << 10
 LEVELS = 4
 #: Texts in which frequent shingles are counted, how many must hold one, and how many shingles are kept.
 SAMPLE_TEXTS, FREQUENT_TEXTS, FREQUENT = 4000, 8, 100_000
+#: Sets that a task remembers, so that copies are filed about once per task.
+REMEMBERED = 100_000
 #: Largest number of bits of a set's bitmap.
 MAX_BITS = 1 << 15
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_ROWS = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, keys array<long>"
+_ROWS = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -107,38 +109,61 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(got.astype(np.uint64))
 
 
-def _rows(n: int, percent: int, frequent):
-    """Size, fingerprint and part keys of each text's set."""
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(tv.mix(s + _C1)).astype(np.int64)), int(np.add.reduce(tv.mix(s ^ _C2)).astype(np.int64))
+
+
+def _rows(n: int):
+    """Size and fingerprint of each text's set."""
 
     def run(batches):
         for batch in tv.batches(batches):
             data, offsets = tv.buffers(batch.column(2))
             for i, j, d, o in tv.blocks(data, offsets):
                 sets = shingle_sets(d, o, n)
-                fp = np.zeros((len(sets), 2), np.int64)
-                keys, at = [], np.zeros(len(sets) + 1, np.int32)
-                for k, s in enumerate(sets):
-                    at[k + 1] = at[k]
-                    if len(s):
-                        fp[k, 0] = np.bitwise_xor.reduce(tv.mix(s + _C1)).astype(np.int64)
-                        fp[k, 1] = np.add.reduce(tv.mix(s ^ _C2)).astype(np.int64)
-                        band = band_of(len(s), percent)
-                        for c in (band, band + 1):
-                            keys.append(part_keys(s, c, percent, frequent.value))
-                            at[k + 1] += len(keys[-1])
-                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+                fp = [_fingerprint(s) for s in sets]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(pa.array(at), flat),
+                        pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "keys"],
+                    ["doc_id", "text_hash", "n_shingles", "fp1", "fp2"],
                 )
 
     return run
 
 
+def _keys(n: int, percent: int, frequent):
+    """(key, doc_id) rows; a set that a task has just filed is not filed by it again."""
+
+    def run(batches):
+        filed: set[tuple[int, int]] = set()
+        for batch in tv.batches(batches):
+            data, offsets = tv.buffers(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, d, o in tv.blocks(data, offsets, 1 << 20):
+                keys, owner = [], []
+                for k, s in enumerate(shingle_sets(d, o, n)):
+                    fp = _fingerprint(s)
+                    if not len(s) or fp in filed:
+                        continue
+                    if len(filed) >= REMEMBERED:
+                        filed.clear()
+                    filed.add(fp)
+                    band = band_of(len(s), percent)
+                    for c in (band, band + 1):
+                        got = part_keys(s, c, percent, frequent.value)
+                        keys.append(got)
+                        owner.append(np.full(len(got), ids[i + k]))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "id"])
+
+    return run
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"
@@ -276,11 +301,10 @@ def _tiles(percent: int):
     return run
 
 
-def candidate_groups(keys: DataFrame) -> DataFrame:
-    """(key, id) -> (id, component): ids chained through common keys."""
+def chains(keys: DataFrame) -> DataFrame:
+    """(key, id) -> (src, dst): each id with the smallest of each key."""
     low = F.min("id").over(Window.partitionBy("key"))
-    chains = keys.select("id", low.alias("low")).filter("id <> low").select(F.col("id").alias("src"), F.col("low").alias("dst"))
-    return connected_components(chains)
+    return keys.select(F.col("id").alias("src"), low.alias("dst")).filter("src <> dst").distinct()
 
 
 def tile_work(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -309,17 +333,27 @@ def tile_work(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs``."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
-    rows = checkpoint(_texts(docs).mapInArrow(_rows(n, percent, frequent), _ROWS))
+    rows = checkpoint(_texts(docs).mapInArrow(_rows(n), _ROWS))
     fp = ["fp1", "fp2", "n_shingles"]
     low = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*fp).agg(
         F.min("doc_id").alias("low_id"), F.min_by("text_hash", "doc_id").alias("low_hash")
     )
     low = checkpoint(low.withColumn("id", F.monotonically_increasing_id()))
     rep = low.select(F.col("low_id").alias("doc_id"), F.col("low_hash").alias("text_hash"), "id", F.col("n_shingles").alias("n"))
+    classed = checkpoint(
+        rows.withColumn("_own", F.col("doc_id").isNotNull())
+        .join(low.withColumn("_own", F.lit(True)), [*fp, "_own"], "left")
+        .select("doc_id", "text_hash", "n_shingles", "id", "low_id")
+    )
 
-    keys = rows.join(rep, ["doc_id", "text_hash"]).select("id", F.explode("keys").alias("key"))
-    groups = candidate_groups(keys).select("id", F.col("component").alias("grp"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+    keys = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
+    found = checkpoint(chains(keys))
+    name = classed.filter("id is not null").select("doc_id", "id").distinct()
+    found = found.join(name.select(F.col("doc_id").alias("src"), F.col("id").alias("a")), "src").join(
+        name.select(F.col("doc_id").alias("dst"), F.col("id").alias("b")), "dst"
+    ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = connected_components(found).select("id", F.col("component").alias("grp"))
     members = checkpoint(groups.join(rep, "id"))
     placed, sides = tile_work(members.select("id", "grp", "n"), percent)
     sets = _wanted_sets(docs, members, n).dropDuplicates(["id"])
@@ -328,11 +362,6 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         _tiles(percent), "src long, dst long"
     )
 
-    classed = checkpoint(
-        rows.drop("keys").withColumn("_own", F.col("doc_id").isNotNull())
-        .join(low.withColumn("_own", F.lit(True)), [*fp, "_own"], "left")
-        .select("doc_id", "text_hash", "n_shingles", "id", "low_id")
-    )
     # a doc_id whose rows fall into several classes ties these together
     several = classed.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top")
     ties = classed.join(several, "doc_id").select(F.col("id").alias("src"), "dst")
