@@ -1,0 +1,111 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from helpers import awkward, docs, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from emberscan.llm import packing as P
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return P.WordTokens(PATH)
+
+
+def ids(text):
+    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=40) | st.text("abcdXYZ éÉñßİıǅªº²½'’st<|>startoftext09_-.\n\t\x1c\x85\xa0Σςﬀ中́", max_size=40))
+def test_ids_equal_the_tokenizers(text):
+    if "tok" not in globals_:
+        globals_["tok"], globals_["ref"] = P.WordTokens(PATH), Tokenizer.from_file(PATH)
+    want = np.array(globals_["ref"].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert globals_["tok"].ids(text) == want
+
+
+globals_: dict = {}
+
+
+def test_special_strings_and_small_cache(tok, monkeypatch):
+    monkeypatch.setattr(P, "CACHE_WORDS", 3)
+    for text in ("a <|startoftext|> b", "don't WE'LL i'M", "one two three four five six seven one two"):
+        assert tok.ids(text) == np.array(ids(text), "<u4").tobytes()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
+def test_bins_are_sound_and_bounds_below(lengths):
+    a = np.array(lengths)
+    bins, offsets, n = P.best_fit_decreasing(a, 100)
+    assert np.bincount(bins, weights=a).max() <= 100 and len(set(bins)) == n
+    for b in range(n):
+        at = sorted((offsets[i], a[i]) for i in np.flatnonzero(bins == b))
+        assert [o for o, _ in at] == np.cumsum([0] + [x for _, x in at[:-1]]).tolist()
+    assert -(-a.sum() // 100) <= P.lower_bound(a, 100) <= n
+
+
+def test_bounds_see_what_the_sum_does_not():
+    assert P.lower_bound(np.array([60] * 10), 100) == 10
+    assert P.lower_bound(np.array([34] * 9), 100) == 5
+    assert P.lower_bound(np.zeros(0, int), 100) == 0
+
+
+def brute(rows):
+    out = []
+    t = Tokenizer.from_file(PATH)
+    for d, text in rows:
+        x = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        out += [(d, k, i, len(x[i : i + 4096]), zlib.crc32(x[i : i + 4096].tobytes())) for k, i in enumerate(range(0, len(x), 4096))]
+    return out
+
+
+def check(rows, got, slack=1.02):
+    assert sorted(map(str, brute(rows))) == sorted(str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in got)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 4096) * slack + 1
+    return len(bins)
+
+
+def test_packing_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_PIECES", 60)
+    rng = random.Random(5)
+    df = awkward(spark, [" ".join(words(rng, rng.randrange(1500))) for _ in range(300)]).repartition(4)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = P.packed_pieces(df.selectExpr("*", "1 as bin", "2 as uid", "3 as piece"), PATH).collect()
+    check(rows, got)
+    assert P.packed_pieces(df.limit(0), PATH).count() == 0
+
+
+def test_exchange_rounds_reach_the_bound(spark):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 3000, 3000)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length long")
+    one_round = P.pack(df, bucket_pieces=10**9).select("bin").distinct().count()
+    many = P.pack(df, bucket_pieces=1000)
+    placed = many.collect()
+    assert sorted(r.uid for r in placed) == list(range(3000))
+    n = len({r.bin for r in placed})
+    assert n <= max(one_round, P.lower_bound(lengths, 4096)) * 1.01 + 1
+
+
+def test_end_only_documents(spark):
+    got = P.packed_pieces(docs(spark, [(1, None, None), (2, "", None), (3, " \n", None)]), PATH).collect()
+    assert len({r.sequence_id for r in got}) == 1 and [r.length for r in got] == [1, 1, 1]

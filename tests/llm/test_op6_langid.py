@@ -1,0 +1,68 @@
+import random
+
+from helpers import awkward, docs
+from pyspark.sql import functions as F
+
+from emberscan.llm import langid as L
+
+PARTS = {"en": ["the", "ing", "tion", "and", "er", "of"], "de": ["ung", "sch", "die", "eit", "über", "ß"], "fr": ["eau", "é", "que", "les", "ment", "è"]}
+
+
+def text(rng, lang, n=40):
+    return " ".join("".join(rng.choice(PARTS[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def corpus(spark, n=240):
+    rng = random.Random(1)
+    rows = [(i, text(rng, lang), lang) for i in range(n) for lang in [rng.choice(list(PARTS))]]
+    return docs(spark, rows).repartition(3)
+
+
+def test_held_out_accuracy_and_awkward_rows(spark):
+    df = corpus(spark)
+    model = L.train(df, F.col("doc_id") % 4 != 2)
+    got = L.predict(df, model, ["doc_id", "lang"]).collect()
+    held = [r for r in got if r.doc_id % 4 == 2]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
+    odd = L.predict(awkward(spark, ["123 456", "_ - !", "e", "É"]), model, ["doc_id"]).collect()
+    named = {r.doc_id: r for r in odd}
+    for d in (1, 2, 3, 100, 101):
+        assert (named[d].lang_pred, named[d].score, named[d].accepted) == ("und", 0.0, False)
+    assert named[102].lang_pred in PARTS and named[103].lang_pred in PARTS and named[5].lang_pred in PARTS
+    assert L.predict(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_whole_text_counts(spark):
+    df = corpus(spark)
+    model = L.train(df, F.lit(True))
+    rng = random.Random(2)
+    late = text(rng, "en", 20) + " " + text(rng, "de", 4000)
+    assert L.predict(docs(spark, [(1, late, None)]), model, ["doc_id"]).first().lang_pred == "de"
+
+
+def test_same_answer_in_any_block(spark, monkeypatch):
+    df = corpus(spark, 60)
+    model = L.train(df, F.lit(True))
+    one = {r.doc_id: round(r.score, 5) for r in L.predict(df, model, ["doc_id"]).collect()}
+    two = {r.doc_id: round(r.score, 5) for r in L.predict(df.coalesce(1), model, ["doc_id"]).collect()}
+    assert one == two
+
+
+def test_nothing_to_learn_from(spark):
+    df = awkward(spark, ["some text"])
+    assert L.train(df.limit(0), F.lit(True)) is None
+    assert L.train(df.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
+    got = L.predict(df, None, ["doc_id"]).collect()
+    assert {r.lang_pred for r in got} == {"und"}
+    single = L.train(docs(spark, [(1, "only one", "en"), (2, "language here", "en")]), F.lit(True))
+    assert L.predict(df, single, ["doc_id"]).filter("doc_id = 100").first().lang_pred == "en"
+
+
+def test_stage_keeps_columns_and_clean_rows(spark):
+    df = corpus(spark).selectExpr("*", "1 as score", "'x' as lang_pred", "2 as row")
+    got = L.accepted_only(df.unionByName(awkward(spark).selectExpr("*", "1 as score", "'x' as lang_pred", "2 as row")), F.lit(True))
+    assert got.columns == df.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert sum(i is not None and i >= 6 for i in ids) >= 230
+    gone = L.accepted_only(docs(spark, [(1, None, "en"), (2, "12", "en")]), F.lit(True))
+    assert gone.count() == 0
