@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 EXACT_BELOW, MAX_LISTS = 1000, 4096
@@ -197,6 +197,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, id_col: str
     ``is_query``: condition on a column ``vec_id``.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = usable(df, id_col, vec_col)
     n = rows.count()
     schema = "query_id long, vec_id long, score double"

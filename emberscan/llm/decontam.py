@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import hash_filter, in_filter, text_hash
+from .common import hash_filter, in_filter, small_batches, text_hash
 
 WINDOW, ENOUGH, SHORTEST, LITERALS = 8, 13, 3, 5
 #: Benchmark windows up to this number are broadcast for the join (about 100 bytes each).
@@ -184,6 +184,7 @@ def _count_words(texts):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, covered, n_words, kind)."""
     spark = docs.sparkSession
+    small_batches(spark)
     count = F.pandas_udf(_count_words, "long")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null").distinct()
     items = items.select("item_id", text_hash(F.col("text")).alias("item_hash"), "text").withColumn("n_words", count("text"))

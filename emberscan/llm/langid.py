@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import small_batches
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 #: Bounds of what a fit sees: documents, and languages (the most frequent).
@@ -166,6 +167,7 @@ def _bags(batches):
 
 def train(docs: DataFrame, learn: Column) -> Model | None:
     """Fit on the rows where ``learn`` holds; None if none of these has a language and a letter."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -190,6 +192,7 @@ def train(docs: DataFrame, learn: Column) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None, extra: list[str]) -> DataFrame:
     """``extra`` columns of ``docs`` with lang_pred, score and accepted for each row."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in extra], F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", lang_pred string, score double, accepted boolean"
 

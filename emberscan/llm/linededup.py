@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, text_hash
+from .common import checkpoint, partitions, small_batches, text_hash
 
 MIN_KEY = 10
 _EDGE = " \t\n\x0b\x0c\r"
@@ -113,6 +113,7 @@ def _bitmaps(batches):
 def line_bitmaps(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """Keep bitmaps of the documents that lose lines."""
     spark = docs.sparkSession
+    small_batches(spark)
     order = ["h1", "h2", "doc_id", "text_hash", "pos"]
     rows = checkpoint(_line_rows(docs, min_key))
     rows = checkpoint(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order))

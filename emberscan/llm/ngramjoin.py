@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import checkpoint, connected_components, hash_filter, in_filter, text_hash
+from .common import checkpoint, connected_components, hash_filter, in_filter, small_batches, text_hash
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
@@ -333,6 +333,7 @@ def tile_work(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = checkpoint(_texts(docs).mapInArrow(_rows(n), _ROWS))
     fp = ["fp1", "fp2", "n_shingles"]
     low = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*fp).agg(

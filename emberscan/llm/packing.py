@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -91,6 +91,7 @@ class WordTokens(dict):
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
+    small_batches(docs.sparkSession)
     end = _as_bytes([end_id])
 
     def run(batches):

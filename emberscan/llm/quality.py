@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import sampled
+from .common import sampled, small_batches
 
 #: Bound of what a fit sees.
 SAMPLE_ROWS = 20_000
@@ -197,6 +197,7 @@ def labelled(labels: DataFrame, column: str, learn: Column) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> Forest:
     """``learn``: condition on doc_id for label rows that may be seen."""
+    small_batches(docs.sparkSession)
     # the broadcast side has SAMPLE_ROWS rows of an id and a label at most
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, column, learn)), "doc_id").select("label", "text")
     got = rows.mapInArrow(_feature_rows, "label int, x binary").toArrow()
@@ -210,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> For
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """(doc_id, score) of every row."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):

@@ -9,9 +9,18 @@ length of a text.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 PIECE = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -109,3 +118,11 @@ def batches(iterator, rows: int = 2000):
     for batch in iterator:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import sampled
+from .common import sampled, small_batches
 
 #: Bounds of what a fit sees, and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, CANDIDATES, ENTRIES = 4000, 8000, 30_000, 4000
@@ -184,6 +184,7 @@ def learn_lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic") -> Model:
+    small_batches(docs.sparkSession)
     rows = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     rows = rows.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
     parts = [sampled(rows.filter(F.col("label") == k), F.col("doc_id"), n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
@@ -231,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxi
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
