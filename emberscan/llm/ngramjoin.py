@@ -24,9 +24,11 @@ words, held as sorted 64-bit hashes.  Two documents link when
 3. Documents with a common key are chained to the smallest id in that key (never
    all pairs), and chains carried over to classes; connected chains are candidate groups.  A group larger than
    ``TILE`` is cut into tiles by size, and only tiles whose sizes can link meet.
-4. Inside a tile pair, hashed bitmaps bound overlap from above by bit counts;
-   what passes, and is not yet connected inside the tile, is decided by exact
-   intersection of the sorted arrays.
+4. Tiles are gone through twice.  First with hashed bitmaps alone (a sixteenth
+   of a set's bytes), whose bit counts bound overlap from above: only what they
+   cannot rule out stays a candidate.  Then, in the much smaller groups that are
+   left, what passes the bound and is not yet connected inside the tile is
+   decided by exact intersection of the sorted arrays.
 5. Links between classes, and members to their class, give components.
 
 Result of ``link_components``: (doc_id, text_hash, n_shingles, component_id).
@@ -54,14 +56,14 @@ SHINGLE, PERCENT = 3, 90
 TILE, SMALL = 1 << 20, 1 << 10
 #: Ways of cutting sets into parts, each for the sets that all before fail.
 LEVELS = 4
-#: Texts in which frequent shingles are counted, how many must hold one, and how many shingles are kept.
+#: About how many texts frequent shingles are counted in, how many must hold one, and how many shingles are kept.
 SAMPLE_TEXTS, FREQUENT_TEXTS, FREQUENT = 4000, 8, 100_000
 #: Sets that a task remembers, so that copies are filed about once per task.
 REMEMBERED = 100_000
 #: Largest number of bits of a set's bitmap.
-MAX_BITS = 1 << 15
+MAX_BITS = 1 << 17
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_ROWS = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long"
+_ROWS = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, bits binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -88,12 +90,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of shingles that many of a bounded sample of different texts hold."""
-    texts = _texts(docs).filter("text is not null").select("text_hash", "text")
-    total = texts.count()
-    slot = F.pmod("text_hash", F.lit(1_000_003))
-    texts = texts.filter(slot < int(1_000_003 * min(1.0, SAMPLE_TEXTS / max(total, 1))) + 1)
-    ids = texts.select("text_hash").distinct().orderBy(slot, "text_hash").limit(SAMPLE_TEXTS)
+    """Sorted hashes of shingles that many texts of a sample hold.
+
+    The sample is the share of texts, by hash, that makes about SAMPLE_TEXTS; copies count once.
+    """
+    share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
+    texts = _texts(docs).filter("text is not null").filter(F.pmod("text_hash", F.lit(1_000_003)) < int(1_000_003 * share) + 1)
 
     def run(batches):
         for batch in tv.batches(batches):
@@ -102,8 +104,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
                 sets = shingle_sets(d, o, n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], ["h"])
 
-    # the ids are at most SAMPLE_TEXTS
-    chosen = texts.join(F.broadcast(ids), "text_hash").dropDuplicates(["text_hash"])
+    chosen = texts.select("text_hash", "text").dropDuplicates(["text_hash"])
     found = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT_TEXTS)
     got = found.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(got.astype(np.uint64))
@@ -116,7 +117,7 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _rows(n: int):
-    """Size and fingerprint of each text's set."""
+    """Size, fingerprint and bitmap of each text's set."""
 
     def run(batches):
         for batch in tv.batches(batches):
@@ -129,8 +130,9 @@ def _rows(n: int):
                     [
                         part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()),
+                        pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "fp1", "fp2"],
+                    ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "bits"],
                 )
 
     return run
@@ -240,35 +242,67 @@ def part_keys(s: np.ndarray, band: int, percent: int, frequent: np.ndarray) -> n
     return np.concatenate(out).astype(np.int64)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of the sets, as rows of 64-bit words; each shingle sets one bit."""
-    largest = max((len(s) for s in sets), default=1)
-    bits = min(MAX_BITS, max(256, 1 << (2 * largest).bit_length()))
-    out = np.zeros((len(sets), bits // 8), np.uint8)
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap of n shingles: four to eight for each, a power of two."""
+    return min(MAX_BITS, max(64, 1 << (4 * n - 1).bit_length()))
+
+
+def bitmap(s: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bitmap of a set as 64-bit words; each shingle sets one bit."""
+    bits = bits or bitmap_bits(len(s))
     row = np.zeros(bits, bool)
-    for i, s in enumerate(sets):
-        row[:] = False
-        row[((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = True
-        out[i] = np.packbits(row)
-    return out.view(np.uint64)
+    row[((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").view(np.uint64)
 
 
-def link_tile(ids, sets, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+class Bitmaps:
+    """Bitmaps of sets in ascending order of size, compared a row against rows before it.
+
+    Lengths are powers of two that grow with the size; the longer of two is
+    folded to the length of the shorter, which is what it would have had.
+    """
+
+    def __init__(self, rows: list[np.ndarray], sizes: np.ndarray):
+        self.rows, self.sizes = rows, sizes
+        words = np.array([len(r) for r in rows])
+        self.starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])).tolist() if len(rows) else []
+        self.parts = [np.stack(rows[a:b]) for a, b in zip(self.starts, [*self.starts[1:], len(rows)])]
+        self.ones = [np.bitwise_count(m).sum(axis=1).astype(np.int64) for m in self.parts]
+
+    def most(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlap of row i with rows js < i, ascending."""
+        out = np.empty(len(js), np.int64)
+        own, at = self.rows[i], len(js)
+        for start, part, ones in zip(self.starts[::-1], self.parts[::-1], self.ones[::-1]):
+            k = int(np.searchsorted(js, start))
+            if k < at:
+                own = own.reshape(-1, part.shape[1])
+                own = np.bitwise_or.reduce(own, axis=0)
+                local = js[k:at] - start
+                both = np.bitwise_count(part[local] & own).sum(axis=1).astype(np.int64)
+                mine = int(np.bitwise_count(own).sum())
+                # a bit that the other lacks is at least one shingle that it lacks
+                out[k:at] = np.minimum(self.sizes[js[k:at]] - (ones[local] - both), self.sizes[i] - (mine - both))
+                at = k
+        return out
+
+
+def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning set of the links of a tile (pair).
 
     ``left``: rows of the first tile of a pair; if there are others, only pairs
     across are looked at.  Rows are visited by size, partners by nearness in
-    size; a pair already connected here needs no test.
+    size; a pair already connected here needs no test.  Without ``sets`` a link
+    is what the bitmaps cannot rule out.
     """
-    size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
-    size, sets, ids, left = size[order], [sets[i] for i in order], [ids[i] for i in order], left[order]
-    bits = bitmaps(sets)
-    ones = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    size, ids, left = size[order], [ids[i] for i in order], left[order]
+    sets = [sets[i] for i in order] if sets is not None else None
+    maps = Bitmaps([bits[i] for i in order], size)
     across = not left.all()
-    root = np.arange(len(sets))
+    root = np.arange(len(ids))
     out = []
-    for i in range(1, len(sets)):
+    for i in range(1, len(ids)):
         lo = int(np.searchsorted(size[:i], -(-percent * size[i] // 100), "left"))
         js = np.arange(lo, i)
         if across:
@@ -277,48 +311,60 @@ def link_tile(ids, sets, left: np.ndarray, percent: int) -> list[tuple[int, int]
         if not len(js):
             continue
         need = -(-(percent * (size[js] + size[i])) // (100 + percent))
-        both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1).astype(np.int64)
-        # shingles beyond the common bits: those whose bit the other lacks, at least one per lone bit
-        most = np.minimum(size[js] - (ones[js] - both), size[i] - (ones[i] - both))
-        for j in js[most >= need][::-1].tolist():
+        for j in js[maps.most(i, js) >= need][::-1].tolist():
             if root[j] == root[i]:
                 continue
-            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * inter >= percent * (size[i] + size[j] - inter):
-                out.append((int(ids[i]), int(ids[j])))
-                a, b = root[i], root[j]
-                root[root == max(a, b)] = min(a, b)
+            if sets is not None:
+                inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * inter < percent * (size[i] + size[j] - inter):
+                    continue
+            out.append((int(ids[i]), int(ids[j])))
+            a, b = root[i], root[j]
+            root[root == max(a, b)] = min(a, b)
     return out
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, exact: bool):
     def run(key, t):
         ids = t.column("id").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c]
-        links = link_tile(ids, sets, t.column("left").to_numpy(), percent)
+        data = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("data").chunks for x in c]
+        if exact:
+            size = np.array([len(s) for s in data])
+            links = link_tile(ids, size, [bitmap(s) for s in data], data, t.column("left").to_numpy(), percent)
+        else:
+            links = link_tile(ids, t.column("n").to_numpy(), data, None, t.column("left").to_numpy(), percent)
         return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
+def links_of_groups(groups: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(id, grp, n) and (id, data) -> (src, dst): links inside the groups, tile by tile."""
+    placed, sides = tile_work(groups, percent, SMALL if exact else SMALL // 8, TILE if exact else TILE * 4)
+    work = data.join(placed.select("id", "grp", "tile", "n"), "id").join(sides, ["grp", "tile"])
+    return work.select("grp", "ta", "tb", "left", "id", "n", "data").groupBy("grp", "ta", "tb").applyInArrow(
+        _tiles(percent, exact), "src long, dst long"
+    )
+
+
 def chains(keys: DataFrame) -> DataFrame:
     """(key, id) -> (src, dst): each id with the smallest of each key."""
     low = F.min("id").over(Window.partitionBy("key"))
     return keys.select(F.col("id").alias("src"), low.alias("dst")).filter("src <> dst").distinct()
 
 
-def tile_work(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def tile_work(members: DataFrame, percent: int, small: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """(id, grp, n) -> (id, grp, tile) and (grp, tile, ta, tb, left): who meets whom.
 
     Ranks by size come from counts per (group, size), so no group is sorted in
     one task; sets of one size are spread by hash over the tiles they span.
     """
-    weight = F.greatest(F.col("n"), F.lit(SMALL))
+    weight = F.greatest(F.col("n"), F.lit(small))
     sizes = members.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("grp", "n", "c", F.coalesce(F.sum(F.col("c") * weight).over(w), F.lit(0)).alias("c0"))
     placed = members.join(sizes, ["grp", "n"]).select(
-        "grp", "id", "n", F.expr(f"cast((c0 + pmod(xxhash64(id), c) * greatest(n, {SMALL})) div {TILE} as long)").alias("tile")
+        "grp", "id", "n", F.expr(f"cast((c0 + pmod(xxhash64(id), c) * greatest(n, {small})) div {tile} as long)").alias("tile")
     )
     placed = checkpoint(placed)
     spans = placed.groupBy("grp", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -342,7 +388,7 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     low = checkpoint(low.withColumn("id", F.monotonically_increasing_id()))
     rep = low.select(F.col("low_id").alias("doc_id"), F.col("low_hash").alias("text_hash"), "id", F.col("n_shingles").alias("n"))
     classed = checkpoint(
-        rows.withColumn("_own", F.col("doc_id").isNotNull())
+        rows.drop("bits").withColumn("_own", F.col("doc_id").isNotNull())
         .join(low.withColumn("_own", F.lit(True)), [*fp, "_own"], "left")
         .select("doc_id", "text_hash", "n_shingles", "id", "low_id")
     )
@@ -356,12 +402,12 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = connected_components(found).select("id", F.col("component").alias("grp"))
     members = checkpoint(groups.join(rep, "id"))
-    placed, sides = tile_work(members.select("id", "grp", "n"), percent)
+    maps = rows.join(members.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    close = links_of_groups(members.select("id", "grp", "n"), maps.select("id", F.col("bits").alias("data")), percent, exact=False)
+    groups = connected_components(close).select("id", F.col("component").alias("grp"))
+    members = checkpoint(groups.join(rep, "id"))
     sets = _wanted_sets(docs, members, n).dropDuplicates(["id"])
-    work = sets.join(placed.select("id", "grp", "tile"), "id").join(sides, ["grp", "tile"])
-    links = work.select("grp", "ta", "tb", "left", "id", "shingles").groupBy("grp", "ta", "tb").applyInArrow(
-        _tiles(percent), "src long, dst long"
-    )
+    links = links_of_groups(members.select("id", "grp", "n"), sets.select("id", F.col("shingles").alias("data")), percent, exact=True)
 
     # a doc_id whose rows fall into several classes ties these together
     several = classed.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top")

@@ -113,10 +113,14 @@ def test_linked_sets_share_a_key(common, a, b, percent, seed, some_frequent):
 
 def test_bit_counts_bound_the_overlap():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 4000, k, dtype=np.uint64) << np.uint64(20)) for k in (5, 50, 500, 3000)]
-    bits = N.bitmaps(sets)
-    ones = np.bitwise_count(bits).sum(axis=1)
+    sets = sorted((np.unique(rng.integers(0, 4000, k, dtype=np.uint64) << np.uint64(20)) for k in (1, 5, 16, 17, 50, 60, 500, 900, 3000)), key=len)
+    sets.append(np.unique(np.concatenate([sets[-1], sets[0] + np.uint64(1)])))
+    maps = N.Bitmaps([N.bitmap(s) for s in sets], np.array([len(s) for s in sets]))
     for i, x in enumerate(sets):
-        for j, y in enumerate(sets):
-            both = int(np.bitwise_count(bits[i] & bits[j]).sum())
-            assert len(np.intersect1d(x, y)) <= min(len(x) - (ones[i] - both), len(y) - (ones[j] - both))
+        most = maps.most(i, np.arange(i))
+        for j in range(i):
+            assert len(np.intersect1d(x, sets[j])) <= most[j]
+            bits = min(N.bitmap_bits(len(x)), N.bitmap_bits(len(sets[j])))
+            a, b = N.bitmap(x, bits), N.bitmap(sets[j], bits)
+            both = int(np.bitwise_count(a & b).sum())
+            assert most[j] == min(len(x) - int(np.bitwise_count(a).sum()) + both, len(sets[j]) - int(np.bitwise_count(b).sum()) + both)
