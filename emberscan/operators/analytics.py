@@ -198,6 +198,16 @@ def map_points(df: DataFrame) -> DataFrame:
     )
 
 
+def map_extent(df: DataFrame, box=None) -> DataFrame:
+    """(south, north, west, east) of a static map: the box, or the detections' bounds and half a degree around."""
+    if box is not None:
+        return df.sparkSession.range(1).select(*[F.lit(float(v)).alias(n) for v, n in zip(box, ("south", "north", "west", "east"))])
+    return df.agg(
+        (F.min("latitude") - 0.5).alias("south"), (F.max("latitude") + 0.5).alias("north"),
+        (F.min("longitude") - 0.5).alias("west"), (F.max("longitude") + 0.5).alias("east"),
+    )
+
+
 def frames(df: DataFrame) -> DataFrame:
     """Animation data: detections with heat, sized against the 98th percentile, a row per empty date."""
     lit = df.filter(F.col(RH) > 0)

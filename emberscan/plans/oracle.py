@@ -181,6 +181,7 @@ SELECT CAST(rank AS INT) AS rank, datetime_utc, latitude, longitude, basin, clas
 SELECT CAST(s.date AS VARCHAR) AS date, false AS placeholder, count(*) AS n, round(coalesce(sum(radiant_heat_MW), 0), 4) AS sum_rh FROM s GROUP BY s.date
 UNION ALL SELECT CAST(date AS VARCHAR), true, 1, 0e0 FROM k WHERE date NOT IN (SELECT date FROM s)"""
     q["map_points"] = f"WITH {DET} SELECT latitude, longitude, temperature_K IS NOT NULL AS fitted, temperature_K, round(CASE WHEN temperature_K IS NOT NULL THEN least(greatest(radiant_heat_MW, 0.1e0), 50e0) * 10 END, 6) AS size_px FROM det"
+    q["map_extent"] = f"WITH {DET} SELECT min(latitude) - 0.5e0 AS south, max(latitude) + 0.5e0 AS north, min(longitude) - 0.5e0 AS west, max(longitude) + 0.5e0 AS east FROM det"
     q["map_frames"] = f"""WITH {DET}, s AS (SELECT * FROM det WHERE day(date) % 3 <> 0), k AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s),
 p AS (SELECT greatest(quantile_cont(radiant_heat_MW, 0.98), 1e0) AS p98 FROM s WHERE radiant_heat_MW > 0),
 z AS (SELECT date, latitude, longitude, least(greatest(radiant_heat_MW / p98, 0.02e0), 1e0) * 80 AS size_px FROM s, p WHERE radiant_heat_MW > 0)

@@ -249,6 +249,7 @@ def _queries() -> dict:
         "top_flares": top_flares,
         "calendar_spine": calendar_spine,
         "map_points": lambda s, d: _round(A.map_points(det(s, d)), size_px=6),
+        "map_extent": lambda s, d: A.map_extent(det(s, d)),
         "map_frames": lambda s, d: _round(A.frames(_gappy(s, d)), size_px=6),
         "kml_rows": lambda s, d: tables.kml_rows(det(s, d).filter("col % 8 = 1")).select("name", "colour", "longitude", "latitude"),
         "append_align": append_align,

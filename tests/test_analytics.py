@@ -76,3 +76,9 @@ def test_histogram_holds_its_upper_edge(spark):
 def test_basin_backfill(spark):
     df = rows(spark, (1, 31.0, 900.0, 1.0))
     assert df.first().basin == "Permian"
+
+
+def test_map_extent(spark):
+    df = rows(spark, (1, 31.0, 900.0, 1.0), (1, 33.0, 900.0, 1.0))
+    assert tuple(A.map_extent(df).first()) == (30.5, 33.5, -103.5, -102.5)
+    assert tuple(A.map_extent(df, (1, 2, 3, 4)).first()) == (1.0, 2.0, 3.0, 4.0)
