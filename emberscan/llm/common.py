@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -41,6 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a lightly loaded driver
+    may not do for long, while an iteration leaves files of every round behind.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,9 +140,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select(
             F.col("src"), F.least("src", "m").alias("m")
         )
-        large = both.join(low, "src").filter("dst > src").select(
-            F.col("dst").alias("src"), F.col("m").alias("dst")
-        ).distinct()
+        large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        large = large.filter("src <> dst")
         low2 = large.groupBy("src").agg(F.min("dst").alias("m"))
         joined = large.join(low2, "src")
         small = joined.filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(
@@ -140,6 +150,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         nxt = checkpoint(shape(small))
         now = mark(nxt)
         cur = nxt
+        del both, low, large, low2, joined, small, nxt
+        free_shuffles(edges.sparkSession)
         if now == seen:
             break
         seen = now

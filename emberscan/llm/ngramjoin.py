@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import checkpoint, connected_components, hash_filter, in_filter, small_batches, text_hash
+from .common import checkpoint, connected_components, free_shuffles, hash_filter, in_filter, small_batches, text_hash
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
@@ -396,6 +396,7 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
     keys = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
     found = checkpoint(chains(keys))
+    free_shuffles(docs.sparkSession)
     name = classed.filter("id is not null").select("doc_id", "id").distinct()
     found = found.join(name.select(F.col("doc_id").alias("src"), F.col("id").alias("a")), "src").join(
         name.select(F.col("doc_id").alias("dst"), F.col("id").alias("b")), "dst"
