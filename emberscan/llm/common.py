@@ -7,7 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -115,6 +115,10 @@ def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+#: Edges of a component search that one map task reads.
+EDGES_PER_PARTITION = 100_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) long links -> (id, component), component = smallest id reached.
 
@@ -126,31 +130,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
         ).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")),
-        ).first()
-        return (r[0], r[1])
+    def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The checkpointed edges in partitions that suit their number, and their count and checksum."""
+        e = checkpoint(e)
+        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        parts = 1 + mark[0] // EDGES_PER_PARTITION
+        return (e.coalesce(parts) if parts < partitions(e.sparkSession) else e), (mark[0], mark[1])
+
+    def both_ways(e: DataFrame) -> DataFrame:
+        return e.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
-    cur = checkpoint(shape(edges))
-    seen = mark(cur)
+    cur, seen = settled(shape(edges))
     while seen[0]:
-        both = cur.unionByName(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select(
-            F.col("src"), F.least("src", "m").alias("m")
-        )
+        # larger neighbours go to the smallest one; a hub's rows can be split, as this is a join
+        both = both_ways(cur)
+        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.filter("src <> dst")
-        low2 = large.groupBy("src").agg(F.min("dst").alias("m"))
-        joined = large.join(low2, "src")
-        small = joined.filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(
-            low2.select("src", F.col("m").alias("dst"))
-        )
-        nxt = checkpoint(shape(small))
-        now = mark(nxt)
+        # smaller neighbours, and the node itself, go to the smallest one
+        m = F.min("dst").over(Window.partitionBy("src"))
+        small = large.select("src", "dst", m.alias("m")).select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+        nxt, now = settled(shape(small))
         cur = nxt
-        del both, low, large, low2, joined, small, nxt
+        del both, low, large, small, nxt
         free_shuffles(edges.sparkSession)
         if now == seen:
             break

@@ -288,7 +288,7 @@ class Bitmaps:
 
 
 def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links of a tile (pair).
+    """What the links of a tile (pair) connect: each id with the smallest that it reaches here.
 
     ``left``: rows of the first tile of a pair; if there are others, only pairs
     across are looked at.  Rows are visited by size, partners by nearness in
@@ -301,7 +301,6 @@ def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndar
     maps = Bitmaps([bits[i] for i in order], size)
     across = not left.all()
     root = np.arange(len(ids))
-    out = []
     for i in range(1, len(ids)):
         lo = int(np.searchsorted(size[:i], -(-percent * size[i] // 100), "left"))
         js = np.arange(lo, i)
@@ -318,10 +317,12 @@ def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndar
                 inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * inter < percent * (size[i] + size[j] - inter):
                     continue
-            out.append((int(ids[i]), int(ids[j])))
             a, b = root[i], root[j]
             root[root == max(a, b)] = min(a, b)
-    return out
+    least: dict[int, int] = {}
+    for r, x in zip(root.tolist(), ids):
+        least[r] = min(x, least.get(r, x))
+    return [(x, least[r]) for r, x in zip(root.tolist(), ids) if x != least[r]]
 
 
 def _tiles(percent: int, exact: bool):
@@ -339,7 +340,7 @@ def _tiles(percent: int, exact: bool):
 
 
 def links_of_groups(groups: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """(id, grp, n) and (id, data) -> (src, dst): links inside the groups, tile by tile."""
+    """(id, grp, n) and (id, data) -> (src, dst): what links connect inside the groups, tile by tile."""
     placed, sides = tile_work(groups, percent, SMALL if exact else SMALL // 8, TILE if exact else TILE * 4)
     work = data.join(placed.select("id", "grp", "tile", "n"), "id").join(sides, ["grp", "tile"])
     return work.select("grp", "ta", "tb", "left", "id", "n", "data").groupBy("grp", "ta", "tb").applyInArrow(
