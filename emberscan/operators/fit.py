@@ -110,20 +110,37 @@ def planck_fit(bands: Column) -> Column:
 
 
 def grid_fit(bands: dict[str, Column], step: int = 20) -> Column:
-    """struct<cost, t, esf> of the best grid temperature, without leaving the JVM."""
+    """struct<cost, t, esf> of the best grid temperature, without leaving the JVM.
+
+    The radiances of the grid do not depend on a row: they are one constant array,
+    which leaves a few multiplications for each temperature.
+    """
+    temperatures = np.arange(K.FIT_T[0], K.FIT_T[1] + 1, step)
+    table = F.array(
+        *[
+            F.struct(F.lit(float(t)).alias("t"), *[F.lit(float(planck(np.array(K.WAVELENGTHS[b]), np.array(t)))).alias(b) for b in bands])
+            for t in temperatures
+        ]
+    )
+
+    def total(terms: list[Column]) -> Column:
+        out = terms[0]
+        for x in terms[1:]:
+            out = out + x
+        return out
 
-    def at(t: Column) -> Column:
-        t = t.cast("double")
-        r = {b: C.planck_um(K.WAVELENGTHS[b], t) / (o + TINY) for b, o in bands.items()}
+    def at(x: Column) -> Column:
+        r = {b: x[b] / (o + TINY) for b, o in bands.items()}
         r0 = {b: o / (o + TINY) for b, o in bands.items()}
-        top = sum((r0[b] * r[b] for b in list(bands)[1:]), r0[list(bands)[0]] * r[list(bands)[0]])
-        square = sum((r[b] * r[b] for b in list(bands)[1:]), r[list(bands)[0]] * r[list(bands)[0]])
-        esf = F.least(F.greatest(top / square, F.lit(K.FIT_ESF[0])), F.lit(K.FIT_ESF[1]))
-        cost = sum((F.pow(esf * r[b] - r0[b], F.lit(2.0)) for b in list(bands)[1:]), F.pow(esf * r[list(bands)[0]] - r0[list(bands)[0]], F.lit(2.0)))
-        return F.struct((cost * 0.5).alias("cost"), t.alias("t"), esf.alias("esf"))
-
-    grid = F.sequence(F.lit(int(K.FIT_T[0])), F.lit(int(K.FIT_T[1])), F.lit(step))
-    return F.array_min(F.transform(grid, at))
+        esf = total([r0[b] * r[b] for b in bands]) / total([r[b] * r[b] for b in bands])
+        esf = F.least(F.greatest(esf, F.lit(K.FIT_ESF[0])), F.lit(K.FIT_ESF[1]))
+        return F.struct(x["t"].alias("t"), esf.alias("esf"), *[r[b].alias(b) for b in bands])
+
+    def cost(x: Column) -> Column:
+        res = {b: x["esf"] * x[b] - o / (o + TINY) for b, o in bands.items()}
+        return F.struct((total([v * v for v in res.values()]) * 0.5).alias("cost"), x["t"].alias("t"), x["esf"].alias("esf"))
+
+    return F.array_min(F.transform(F.transform(table, at), cost))
 
 
 def with_fit(candidates: DataFrame) -> DataFrame:
