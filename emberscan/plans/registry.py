@@ -76,7 +76,7 @@ def heat(s, d):
 
 
 def _sources(s, d):
-    return views.events(s, d).filter("event_id % 20 = 0").selectExpr("event_id", "600e0 + (event_id * 37) % 1500 as t", "(1 + event_id % 9) * 1e-6 as esf").select(
+    return views.events(s, d).selectExpr("event_id", "600e0 + (event_id * 37) % 1500 as t", "(1 + event_id % 9) * 1e-6 as esf").select(
         "event_id",
         *[
             (F.col("esf") * C.planck_um(K.WAVELENGTHS[b], F.col("t")) * (1 + 0.01 * ((F.col("event_id") * (k + 3)) % 7 - 3))).alias(b)
@@ -85,8 +85,17 @@ def _sources(s, d):
     )
 
 
+def planck_fit_grid_all(s, d):
+    return _grid_fit(_sources(s, d))
+
+
 def planck_fit_grid(s, d):
-    best = _sources(s, d).select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
+    """Only the sources that its SQL has."""
+    return _grid_fit(_sources(s, d).filter("event_id % 20 = 0"))
+
+
+def _grid_fit(sources):
+    best = sources.select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
     return best.select("event_id", F.col("g.t").cast("int").alias("temperature_K"), F.round(F.log10("g.esf"), 6).alias("log_esf"))
 
 
@@ -220,6 +229,7 @@ def _queries() -> dict:
         ),
         "site_grid": lambda s, d: det(s, d).select(*KEY, "site_lat_i", "site_lon_i"),
         "planck_fit_grid": planck_fit_grid,
+        "planck_fit_grid_all": planck_fit_grid_all,
         "planck_fit": planck_fit,
         "detections": detections,
         "parse_filename": parse_filename,
