@@ -182,11 +182,12 @@ def top_flares(s, d):
 
 
 def _gappy(s, d):
+    """Only the days that the SQL of ``calendar_spine`` and ``map_frames`` has."""
     return views.detections(s, d).filter(F.dayofmonth("date") % 3 != 0)
 
 
-def calendar_spine(s, d):
-    rows = A.filled_calendar(_gappy(s, d))
+def _spine(det):
+    rows = A.filled_calendar(det)
     return rows.groupBy("date", "placeholder").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("radiant_heat_MW"), F.lit(0.0)), 4).alias("sum_rh")
     )
@@ -204,7 +205,13 @@ def _dated(query):
     return lambda s, d: query(s, d).withColumn("date", F.col("date").cast("string"))
 
 
-DATED = ("filters", "daily", "daily_ts", "volume_daily", "volume_basin", "volume_class", "calendar_spine", "map_frames")
+def _kml(det):
+    return tables.kml_rows(det).select("name", "colour", "longitude", "latitude")
+
+
+DATED = (
+    "filters", "daily", "daily_ts", "volume_daily", "volume_basin", "volume_class", "calendar_spine", "calendar_spine_all", "map_frames", "map_frames_all",
+)
 
 
 def queries() -> dict:
@@ -257,11 +264,14 @@ def _queries() -> dict:
         "distinct_granules": lambda s, d: A.distinct_granules(det(s, d)),
         "flare_ranges": lambda s, d: A.flare_ranges(det(s, d)),
         "top_flares": top_flares,
-        "calendar_spine": calendar_spine,
+        "calendar_spine": lambda s, d: _spine(_gappy(s, d)),
+        "calendar_spine_all": lambda s, d: _spine(det(s, d)),
         "map_points": lambda s, d: _round(A.map_points(det(s, d)), size_px=6),
         "map_extent": lambda s, d: A.map_extent(det(s, d)),
         "map_frames": lambda s, d: _round(A.frames(_gappy(s, d)), size_px=6),
-        "kml_rows": lambda s, d: tables.kml_rows(det(s, d).filter("col % 8 = 1")).select("name", "colour", "longitude", "latitude"),
+        "map_frames_all": lambda s, d: _round(A.frames(det(s, d)), size_px=6),
+        "kml_rows": lambda s, d: _kml(det(s, d).filter("col % 8 = 1")),  # the columns that its SQL has
+        "kml_rows_all": lambda s, d: _kml(det(s, d)),
         "append_align": append_align,
     }
 

@@ -30,3 +30,11 @@ def test_every_source_is_fitted(spark, con):
 def test_grid_fit_of_every_source(spark, con):
     got = registry.queries()["planck_fit_grid_all"](spark, SF).toPandas()
     assert _rows(got) == _rows(con.execute(whole_sql("planck_fit_grid", " WHERE event_id % 20 = 0")).df())
+
+
+@pytest.mark.parametrize(
+    "name, cut", [("kml_rows", " AND col % 8 = 1"), ("map_frames", " WHERE day(date) % 3 <> 0"), ("calendar_spine", " WHERE day(date) % 3 <> 0")]
+)
+def test_every_detection_and_day(spark, con, name, cut):
+    got = registry.queries()[f"{name}_all"](spark, SF).toPandas()
+    assert _rows(got) == _rows(con.execute(whole_sql(name, cut)).df())
