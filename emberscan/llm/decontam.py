@@ -3,23 +3,28 @@
 Words are runs of letters, digits and non-ASCII bytes.  Each becomes a typed
 placeholder by itself, whatever stands around it: numbers ("12", "1,000", "5km")
 ``<num>``, a capitalised word ``<name>``, a unit right after a number ``<unit>``;
-all else is its lower-cased self.  Windows of ``WINDOW`` words are hashed twice:
-as templates, and literally (lower-cased, numbers still open), so that a change of
-case does not hide a copy.  Items with fewer words are one window of their length.
+all else is its lower-cased self.  Windows of ``WINDOW`` words are hashed in three
+streams: as templates; lower-cased with numbers open, so that a change of case does
+not hide a copy; and, where they hold a number, lower-cased with numbers as they
+are, which loses no verbatim copy however many slots it has.  Windows of the first
+two need ``DENSE`` words that are not open (all, below ``LITERALS`` words): a row of
+mere numbers or names would match every other.  Items with fewer words are one
+window of their length.
 
 Windows of documents first pass a broadcast bitmap of fixed size made from the
 benchmark's windows, then meet these in a hash join (broadcast only if counted to
 be few).  Matched windows on one diagonal of a document and an item must fill the
 item's slots consistently: one value of the item maps to one value of the
 document.  A document is contaminated by an item if consistent windows cover at
-least half of the item's words, or ``ENOUGH`` of them.
+least half of the item's words, or ``ENOUGH`` of them, among these ``LITERALS``
+words that are the same in both (or as many as the item has outside its slots).
 
 Result: (doc_id, text_hash, item_id, covered, n_words, kind), kind being
-``exact`` if all slots hold the item's own values, else ``reparameterised``.
+``exact`` if windows whose slots hold the item's own values cover all that is
+covered, else ``reparameterised``.
 
 Defined results: null or empty texts and items match nothing, nor do items with
-a null item_id or fewer than ``SHORTEST`` words or windows with fewer than ``LITERALS`` (or all)
-words that are not placeholders; repeated rows give repeated findings once; rows
+a null item_id or fewer than ``SHORTEST`` words; repeated rows give repeated findings once; rows
 with a null doc_id are judged too; empty tables give no rows.
 """
 
@@ -33,7 +38,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import hash_filter, in_filter, small_batches, text_hash
 
-WINDOW, ENOUGH, SHORTEST, LITERALS = 8, 13, 3, 5
+WINDOW, ENOUGH, SHORTEST, LITERALS, DENSE = 8, 13, 3, 5, 2
+STREAMS = (0, 1, 2)  # templates, numbers open, as they are
 #: Benchmark windows up to this number are broadcast for the join (about 100 bytes each).
 BROADCAST_WINDOWS = 200_000
 
@@ -52,7 +58,7 @@ _DIGIT[48:58] = True
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
-_SALT = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B2F3D4E17))
+_SALT = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B2F3D4E17), np.uint64(0x2545F4914F6CDD1D))
 
 
 def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +117,13 @@ class Templates:
         self.kind = np.where(num, 1, np.where(name, 2, np.where(unit, 3, 0))).astype(np.int8)
         self.template = np.where(num, _NUM, np.where(name, _NAME, np.where(unit, _UNIT, literal)))
         self.literal = np.where(num, _NUM, literal)
+        self.exact = literal
         n = len(s) + 1
         self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (_BASE, _BACK))
 
     def windows(self, width: int, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every admissible window of ``width`` words inside one text."""
-        code = self.template if stream == 0 else self.literal
+        code = (self.template, self.literal, self.exact)[stream]
         n = len(code)
         if n < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -124,21 +131,29 @@ class Templates:
         first = np.arange(n - width + 1)
         h = tv.mix((total[width:] - total[:-width]) * self.down[: n - width + 1] ^ (_SALT[stream] + np.uint64(width)))
         open_ = np.concatenate([[0], np.cumsum((self.kind > 0) if stream == 0 else (self.kind == 1))])
-        plain = width - (open_[width:] - open_[:-width])
+        n_open = open_[width:] - open_[:-width]
+        if stream == 2:  # without a number the window is in stream 1 already
+            fit = n_open > 0
+        else:
+            fit = width - n_open >= (DENSE if width >= LITERALS else width)
         text = np.searchsorted(self.at, first, "right")
-        ok = (text == np.searchsorted(self.at, first + width - 1, "right")) & (plain >= min(LITERALS, width))
+        ok = (text == np.searchsorted(self.at, first + width - 1, "right")) & fit
         return first[ok], h[ok]
 
-    def slots(self, first: int, width: int, stream: int) -> list[str]:
-        out = []
+    def slots(self, first: int, width: int, stream: int) -> list[dict]:
+        """Offset in the window and value of each open word."""
+        out: list[dict] = []
+        if stream == 2:
+            return out
         for k in range(first, first + width):
             kind = int(self.kind[k])
             if kind == 1 or (kind and stream == 0):
-                out.append(f"{kind}{self.data[self.start[k] : self.end[k]].tobytes().decode('utf-8', 'replace')}")
+                out.append({"at": k - first, "value": f"{kind}{self.data[self.start[k] : self.end[k]].tobytes().decode('utf-8', 'replace')}"})
         return out
 
 
-_FOUND = "key1 long, key2 long, h long, pos int, slots array<string>"
+_FOUND = "key1 long, key2 long, h long, pos int, slots array<struct<at:int,value:string>>"
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
 
 
 def _window_rows(widths, wanted):
@@ -152,7 +167,7 @@ def _window_rows(widths, wanted):
                 t = Templates(d, o)
                 owner, hashes, pos, slots = [], [], [], []
                 for width in widths:
-                    for stream in (0, 1):
+                    for stream in STREAMS:
                         first, h = t.windows(width, stream)
                         hit = np.flatnonzero(wanted(h)) if wanted else np.arange(len(h))
                         if not len(hit):
@@ -167,7 +182,7 @@ def _window_rows(widths, wanted):
                 if owner:
                     at = pa.array(np.concatenate(owner))
                     yield pa.RecordBatch.from_arrays(
-                        [k1.take(at), k2.take(at), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(pos)), pa.array(slots, pa.list_(pa.string()))],
+                        [k1.take(at), k2.take(at), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(pos)), pa.array(slots, _SLOTS)],
                         ["key1", "key2", "h", "pos", "slots"],
                     )
 
@@ -181,13 +196,48 @@ def _count_words(texts):
     return pd.Series(np.diff(Templates(data, offsets).at).astype("int64"))
 
 
+def _count_plain(texts):
+    import pandas as pd
+
+    data, offsets = tv.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
+    t = Templates(data, offsets)
+    plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
+    return pd.Series(np.diff(plain[t.at]).astype("int64"))
+
+
+def _judge(windows) -> dict:
+    """Item words that the windows of one diagonal cover, those the same in both texts, those of windows with the item's own values."""
+    values: dict[str, set[str]] = {}
+    for w in windows:
+        for p in w["pairs"]:
+            values.setdefault(p["item"], set()).add(p["doc"])
+    words: set[int] = set()
+    alike: set[int] = set()
+    own: set[int] = set()
+    if all(len(docs) == 1 for docs in values.values()):
+        for w in windows:
+            span = range(w["ipos"], w["ipos"] + w["width"])
+            changed = {w["ipos"] + p["at"] for p in w["pairs"] if p["item"] != p["doc"]}
+            words.update(span)
+            alike.update(x for x in span if x not in changed)
+            if not changed:
+                own.update(span)
+    return {"words": sorted(words), "alike": sorted(alike), "own": sorted(own)}
+
+
+def _judge_all(lines):
+    import pandas as pd
+
+    return pd.DataFrame([_judge(w) for w in lines], columns=["words", "alike", "own"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, covered, n_words, kind)."""
     spark = docs.sparkSession
     small_batches(spark)
-    count = F.pandas_udf(_count_words, "long")
+    count, count_plain = F.pandas_udf(_count_words, "long"), F.pandas_udf(_count_plain, "long")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null").distinct()
-    items = items.select("item_id", text_hash(F.col("text")).alias("item_hash"), "text").withColumn("n_words", count("text"))
+    items = items.select("item_id", text_hash(F.col("text")).alias("item_hash"), "text").withColumns({"n_words": count("text"), "n_plain": count_plain("text")})
     items = items.filter(F.col("n_words") >= SHORTEST)
     short = [r[0] for r in items.filter(F.col("n_words") < WINDOW).select("n_words").distinct().collect()]
     parts = []
@@ -199,8 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for p in parts[1:]:
         windows = windows.unionByName(p)
     windows = windows.join(
-        items.select(F.col("item_id").alias("key1"), F.col("item_hash").alias("key2"), "n_words"), ["key1", "key2"]
-    ).select("h", F.col("key1").alias("item_id"), F.col("key2").alias("item_hash"), F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "width", "n_words")
+        items.select(F.col("item_id").alias("key1"), F.col("item_hash").alias("key2"), "n_words", "n_plain"), ["key1", "key2"]
+    ).select("h", F.col("key1").alias("item_id"), F.col("key2").alias("item_hash"), F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "width", "n_words", "n_plain")
     bits = spark.sparkContext.broadcast(hash_filter(windows.select("h")))
     few = windows.count() <= BROADCAST_WINDOWS
 
@@ -212,25 +262,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("key1").alias("doc_id"), F.col("key2").alias("text_hash"), "h", "pos", "slots"
     )
     both = found.join(F.broadcast(windows) if few else windows, "h")
-    both = both.withColumn(
-        "pairs", F.zip_with("islots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    )
-    lines = both.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_words", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.collect_set(F.struct("ipos", "width")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    lines = lines.filter(one).withColumn("same", F.forall("pairs", lambda p: p["item"] == p["doc"]))
-    whole = lines.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_words").agg(
-        F.size(
-            F.array_distinct(
-                F.flatten(F.transform(F.array_distinct(F.flatten(F.collect_set("spans"))), lambda x: F.sequence(x["ipos"], x["ipos"] + x["width"] - 1)))
-            )
-        ).alias("covered"),
-        F.every("same").alias("same"),
+    pairs = F.zip_with("islots", "slots", lambda a, b: F.struct(a["at"].alias("at"), a["value"].alias("item"), b["value"].alias("doc")))
+    keys = ["doc_id", "text_hash", "item_id", "item_hash", "n_words", "n_plain"]
+    lines = both.groupBy(*keys, (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
+        F.collect_set(F.struct("ipos", "width", pairs.alias("pairs"))).alias("windows")
     )
-    return whole.filter(f"covered >= {ENOUGH} or 2 * covered >= n_words").select(
+    judge = F.pandas_udf(_judge_all, "words array<int>, alike array<int>, own array<int>")
+    lines = lines.withColumn("judged", judge("windows"))
+    size = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(f"judged.{c}"))))
+    whole = lines.groupBy(*keys).agg(*[size(c).alias(n) for c, n in (("words", "covered"), ("alike", "n_alike"), ("own", "n_own"))])
+    whole = whole.filter(f"covered >= {ENOUGH} or 2 * covered >= n_words").filter(f"n_alike >= least({LITERALS}, n_plain)")
+    return whole.select(
         "doc_id", "text_hash", "item_id", F.col("covered").cast("long").alias("covered"), "n_words",
-        F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("n_own") == F.col("covered"), "exact").otherwise("reparameterised").alias("kind"),
     )
 
 

@@ -69,3 +69,16 @@ def test_short_items_and_awkward_rows(spark):
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     assert found(docs(spark, [(1, ITEM, "en")]), bench(spark, [ITEM, ITEM])) == {(1, 0): "exact", (1, 1): "exact"}
+
+
+def test_short_number_dense_and_slot_dense_items(spark):
+    rng = random.Random(3)
+    pad = lambda: " ".join(words(rng, 30))
+    items = ["What is 12 plus 7?", "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54", "Tom has 3 apples, Ann has 5 pears. Total?", "Paris: 12 January"]
+    rows = [
+        *[(k, f"{pad()} {t} {pad()}") for k, t in enumerate(items)],
+        (10, f"{pad()} What is 31 plus 4? {pad()}"), (12, f"{pad()} Eva has 8 apples, Udo has 9 pears. Total? {pad()}"),
+        (20, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"), (21, "London: 14 March"), (22, "Tom has 3 apples"), (23, "Ulm is 12"),
+    ]
+    got = found(docs(spark, [(i, t, "en") for i, t in rows]), bench(spark, items))
+    assert got == {**{(k, k): "exact" for k in range(4)}, (10, 0): "reparameterised", (12, 2): "reparameterised"}
