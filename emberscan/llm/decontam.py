@@ -13,9 +13,10 @@ window of their length.
 
 Windows of documents first pass a broadcast bitmap of fixed size made from the
 benchmark's windows, then meet these in a hash join (broadcast only if counted to
-be few).  Matched windows on one diagonal of a document and an item must fill the
-item's slots consistently: one value of the item maps to one value of the
-document.  A document is contaminated by an item if consistent windows cover at
+be few).  Of the matched windows on one diagonal of a document and an item, those
+count whose slots hold the item's own values, and those that fill the item's slots
+consistently: one value of the item maps to one value of the document, the one that
+stands in its place more often than any other (in a draw, none).  A document is contaminated by an item if consistent windows cover at
 least half of the item's words, or ``ENOUGH`` of them, among these ``LITERALS``
 words that are the same in both (or as many as the item has outside its slots).
 
@@ -207,21 +208,28 @@ def _count_plain(texts):
 
 def _judge(windows) -> dict:
     """Item words that the windows of one diagonal cover, those the same in both texts, those of windows with the item's own values."""
-    values: dict[str, set[str]] = {}
+    places: dict[str, dict[str, set[int]]] = {}
     for w in windows:
         for p in w["pairs"]:
-            values.setdefault(p["item"], set()).add(p["doc"])
+            places.setdefault(p["item"], {}).setdefault(p["doc"], set()).add(w["ipos"] + p["at"])
+    value: dict[str, str] = {}
+    for item, docs in places.items():
+        most = max(map(len, docs.values()))
+        top = [doc for doc, at in docs.items() if len(at) == most]
+        if len(top) == 1:
+            value[item] = top[0]
     words: set[int] = set()
     alike: set[int] = set()
     own: set[int] = set()
-    if all(len(docs) == 1 for docs in values.values()):
-        for w in windows:
-            span = range(w["ipos"], w["ipos"] + w["width"])
-            changed = {w["ipos"] + p["at"] for p in w["pairs"] if p["item"] != p["doc"]}
-            words.update(span)
-            alike.update(x for x in span if x not in changed)
-            if not changed:
-                own.update(span)
+    for w in windows:
+        changed = {w["ipos"] + p["at"] for p in w["pairs"] if p["item"] != p["doc"]}
+        if changed and any(value.get(p["item"]) != p["doc"] for p in w["pairs"]):
+            continue
+        span = range(w["ipos"], w["ipos"] + w["width"])
+        words.update(span)
+        alike.update(x for x in span if x not in changed)
+        if not changed:
+            own.update(span)
     return {"words": sorted(words), "alike": sorted(alike), "own": sorted(own)}
 
 

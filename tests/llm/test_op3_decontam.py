@@ -82,3 +82,18 @@ def test_short_number_dense_and_slot_dense_items(spark):
     ]
     got = found(docs(spark, [(i, t, "en") for i, t in rows]), bench(spark, items))
     assert got == {**{(k, k): "exact" for k in range(4)}, (10, 0): "reparameterised", (12, 2): "reparameterised"}
+
+
+def test_one_torn_slot_leaves_the_rest_of_a_copy(spark):
+    rng = random.Random(4)
+    w = words(rng, 40, 26)
+    w = ["".join(chr(97 + int(c)) for c in x[1:]) + "x" for x in w]
+    w[2] = w[37] = "Anna"
+    w[20] = "Anna"
+    item, torn = " ".join(w), " ".join([*w[:37], "Emil", *w[38:]])
+    two = [*w[:20], "oak", *w[21:]]  # Anna twice: once each, a draw
+    other = " ".join([*two[:2], "Clara", *two[3:37], "Emil", *two[38:]])
+    most = " ".join([*w[:2], "Clara", *w[3:20], "Clara", *w[21:37], "Emil", *w[38:]])
+    d = docs(spark, [(1, torn, "en"), (2, other, "en"), (3, most, "en")])
+    got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in D.contaminated(d, bench(spark, [item, " ".join(two)])).collect()}
+    assert got[(1, 0)] == (37, "exact") and got[(2, 1)] == (34, "exact") and got[(3, 0)] == (37, "reparameterised")
