@@ -1,6 +1,9 @@
 """Benchmark decontamination by template windows.
 
-Words are runs of letters, digits and non-ASCII bytes.  Each becomes a typed
+Words are runs of letters, marks and digits of any script, cut at punctuation,
+symbols and spaces in Unicode's sense; in scripts that are written without spaces
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) each character is a word.
+Each becomes a typed
 placeholder by itself, whatever stands around it: numbers ("12", "1,000", "5km")
 ``<num>``, a capitalised word ``<name>``, a unit right after a number ``<unit>``;
 all else is its lower-cased self.  Windows of ``WINDOW`` words are hashed in three
@@ -31,6 +34,8 @@ with a null doc_id are judged too; empty tables give no rows.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,11 +90,52 @@ def unit_hashes() -> np.ndarray:
     return _UNIT_HASH
 
 
+#: Where each character is a word: first and last code points.
+_NO_SPACES = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3040, 0x30FF),
+    (0x3105, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+)
+_CLASS: np.ndarray | None = None
+
+
+def classes() -> np.ndarray:
+    """By code point below 0x10000: 0 between words, 1 inside a word, 2 a word by itself."""
+    global _CLASS
+    if _CLASS is None:
+        kinds = [unicodedata.category(chr(c)) for c in range(0x10000)]
+        out = np.array([k[0] not in "PSZ" and k not in ("Cc", "Cf") for k in kinds], np.int8)
+        for a, b in _NO_SPACES:
+            out[a : b + 1] *= 2
+        _CLASS = out
+    return _CLASS
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block of UTF-8 texts."""
+    inside = _INSIDE[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return tv.spans(inside, offsets)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0).astype(np.int64)
+    rest = [(data[np.minimum(lead + k, len(data) - 1)] & 0x3F).astype(np.int64) for k in (1, 2, 3)]
+    first = data[lead].astype(np.int64)
+    point = np.where(size == 2, (first & 0x1F) << 6 | rest[0], (first & 0x0F) << 12 | rest[0] << 6 | rest[1])
+    kind = classes()[point & 0xFFFF]
+    wide = (first & 7) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+    kind = np.where(size == 4, np.where((wide >= 0x20000) & (wide < 0x40000), 2, 1), kind)
+    for k in range(4):
+        at = lead[(kind == 0) & (size > k)] + k
+        inside[at[at < len(data)]] = False
+    alone = kind == 2
+    cuts = np.concatenate([offsets, lead[alone], np.minimum(lead[alone] + size[alone], len(data))])
+    return tv.spans(inside, cuts)
+
+
 class Templates:
     """Words of a block of texts: byte spans, template codes, literal codes, kinds."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        s, e = tv.spans(_INSIDE[data], offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+        s, e = word_spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
         low, upper = folded(data)
         digits = _DIGIT[data]
         num = digits[s] if len(s) else np.zeros(0, bool)

@@ -97,3 +97,16 @@ def test_one_torn_slot_leaves_the_rest_of_a_copy(spark):
     d = docs(spark, [(1, torn, "en"), (2, other, "en"), (3, most, "en")])
     got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in D.contaminated(d, bench(spark, [item, " ".join(two)])).collect()}
     assert got[(1, 0)] == (37, "exact") and got[(2, 1)] == (34, "exact") and got[(3, 0)] == (37, "reparameterised")
+
+
+def test_scripts_without_spaces_and_unicode_punctuation(spark):
+    items = ["小明有三个苹果，他又买了五个，现在一共有多少个？", "ขวดนี้มีน้ำกี่ลิตรครับ", "the old man said hello to the young sailor", "りんごが12個あります"]
+    rows = [
+        (0, "今天天气很好。小明有三个苹果，他又买了五个，现在一共有多少个？我们去公园。"), (1, "สวัสดีขวดนี้มีน้ำกี่ลิตรครับขอบคุณ"),
+        (2, "and so “the old man said hello”—to the young sailor… again"), (3, "箱にりんごが12個あります。"), (4, "今天天气很好，我们去公园散步，然后回家吃饭。"), (5, "😀 𠀀𠀁 é"),
+    ]
+    got = found(docs(spark, [(i, t, "xx") for i, t in rows]), bench(spark, items))
+    assert got == {(k, k): "exact" for k in range(4)}
+    data, offsets = D.tv.buffers(D.pa.array(["a—b “c” l’été 你好ab 12個", "𠀀𠀁x", ""]))
+    s, e = D.word_spans(data, offsets)
+    assert [data[i:j].tobytes().decode() for i, j in zip(s, e)] == ["a", "b", "c", "l", "été", "你", "好", "ab", "12", "個", "𠀀", "𠀁", "x"]
