@@ -5,14 +5,17 @@ becomes ``\\b`` and ``<`` becomes ``\\l`` (in roles ``>`` becomes ``\\g`` too),
 a mark can never come from a text, and plain replacements in the opposite order
 undo it.
 
-A turn costs a quarter of its formatted code points, rounded up.  Prefix sums of
-these costs cut a conversation into stripes of half the room that the budget
-leaves beside system turn and history; a turn larger than a stripe stands
-alone.  So a window never exceeds the budget unless one single turn does: turns
-are never cut.  Every window after the first repeats the system turn (a first
-turn with role ``system``) and up to two turns before it, if these cost at most
-``history``.  Repeated turns are outside the loss mask; each assistant turn is
-under it exactly once.
+A turn costs a quarter of its formatted code points, rounded up: an estimate of
+its tokens, not their number.  Prefix sums of these costs cut a conversation into
+stripes of half the room that the budget leaves beside system turn and history; a
+turn larger than a stripe stands alone.  Every window after the first repeats the
+system turn (a first turn with role ``system``) and up to two turns before it, if
+these cost at most ``history``.  A system turn that costs more than half of
+what history leaves of the budget is not repeated, but cut like any other turn.  Beside
+a turn that stands alone, history gives way first, then the system turn.  So
+no window exceeds the budget unless one single turn does: turns are never cut.
+Repeated turns are outside the loss mask; each assistant turn is under it
+exactly once.
 
 Defined results: null text or role counts as empty; turns are ordered by turn,
 then role, then text, null turns first, so repeated turn numbers are all kept;
@@ -65,20 +68,20 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     )
     t = t.withColumn("pos", F.row_number().over(order))
     t = t.withColumn("chars", F.char_length("piece"))
-    t = t.withColumn("is_sys", (F.col("pos") == 1) & (F.col("role") == "system"))
     full = F.expr("cast((chars + 3) div 4 as bigint)")
+    t = t.withColumn("is_sys", (F.col("pos") == 1) & (F.col("role") == "system") & (2 * full <= budget - history))
     t = t.withColumn("cost", F.when(F.col("is_sys"), F.lit(0).cast("bigint")).otherwise(full)).withColumn(
         "sys_cost", F.when(F.col("is_sys"), full).otherwise(F.lit(0).cast("bigint"))
     )
     t = t.withColumn("before", F.coalesce(F.sum("cost").over(past), F.lit(0).cast("bigint")))
-    t = t.withColumn(
-        "half",
-        F.expr(f"greatest(({budget - history} - sum(sys_cost) over (partition by conv_id)) div 2, 1)"),
-    )
+    t = t.withColumn("sys", F.sum("sys_cost").over(whole)).withColumn("half", F.expr(f"greatest(({budget - history} - sys) div 2, 1)"))
     t = t.withColumn("stripe", F.expr("before div half")).withColumn("big", F.col("cost") > F.col("half"))
+    # a turn that stands alone and has no room for the system turn
+    t = t.withColumn("bare", F.col("big") & (F.col("sys") > 0) & (F.col("cost") + F.col("sys") > budget))
+    after_sys = F.coalesce(F.lag("is_sys").over(order), F.lit(False))
     begins = (
         (F.col("pos") > 1)
-        & ~F.coalesce(F.lag("is_sys").over(order), F.lit(False))
+        & (~after_sys | F.col("bare"))
         & (
             F.col("big")
             | F.coalesce(F.lag("big").over(order), F.lit(False))
@@ -90,11 +93,17 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         "win", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     )
     t = t.withColumn("last_win", F.max("win").over(whole))
+    t = t.withColumn("bare_wins", F.collect_set(F.when(F.col("bare"), F.col("win"))).over(whole))
+    # what repeated turns may cost beside the turn that begins the window
+    t = t.withColumn(
+        "spare",
+        F.when(F.col("big"), F.greatest(F.lit(-1), budget - F.col("cost") - F.when(F.col("bare"), F.lit(0)).otherwise(F.col("sys")))).otherwise(history),
+    )
     again = [
         F.when(
             ~F.col("is_sys")
             & (F.lead("win", j).over(order) != (F.lead("win", j - 1).over(order) if j > 1 else F.col("win")))
-            & (F.lead("before", j).over(order) - F.col("before") <= history),
+            & (F.lead("before", j).over(order) - F.col("before") <= F.least(F.lit(history), F.lead("spare", j).over(order))),
             F.lead("win", j).over(order),
         )
         for j in range(1, HISTORY_TURNS + 1)
@@ -110,7 +119,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             F.when(
                 F.col("is_sys") & (F.col("last_win") > 0),
                 F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.col("last_win"), F.lit(1))),
+                    F.array_except(F.sequence(F.lit(1), F.greatest(F.col("last_win"), F.lit(1))), F.col("bare_wins")),
                     lambda x: F.struct(x.alias("w"), F.lit(False).alias("own")),
                 ),
             ).otherwise(F.expr("array_remove(array(named_struct('w', 0, 'own', false)), named_struct('w', 0, 'own', false))")),

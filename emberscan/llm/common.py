@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 
 import numpy as np
@@ -30,23 +31,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder.
+def is_local(spark: SparkSession) -> bool:
+    """Driver and tasks are one process, so a folder of this machine is shared."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
 
-    The folder is ``spark.checkpoint.dir``; only where the session has none
-    (local tests) is a temporary folder used.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local session; on a cluster it
+    would lie on one node's disk, so there this raises ValueError.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shared")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``checkpoint``; it cannot be read any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete_path(df.sparkSession, file.get())
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+    """Hint that shuffle files which nothing refers to any more can go.
 
-    It does so when the driver collects garbage, which a lightly loaded driver
-    may not do for long, while an iteration leaves files of every round behind.
+    Spark deletes them when the driver collects garbage, which a lightly loaded
+    driver may not do for long.  Checkpoints do not wait for this: they are
+    deleted by ``drop_checkpoint``.
     """
     gc.collect()
     spark._jvm.java.lang.System.gc()
@@ -79,39 +110,47 @@ def sampled(df: DataFrame, key: Column, rows: int, seed: int = 7) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1_000_003)), h, key).limit(rows)
 
 
-#: Bits of a bitmap filter, whatever the input's size (1 MiB).
-FILTER_BITS = 1 << 23
+#: Bits of a bitmap filter for each entry, and its least and largest size (1 and 32 MiB).
+BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 28
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n entries, a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ENTRY * n).bit_length()))
+
+
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     h = h.astype(np.uint64)
-    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(41)).astype(np.int64)
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """Bitmap over a frame of one column of 64-bit hashes.
+def hash_filter(hashes: DataFrame, n: int = 0) -> np.ndarray:
+    """Bitmap over a frame of one column of 64-bit hashes, about ``n`` of them.
 
     Built on the executors; the driver gets its used words alone, at most
-    ``FILTER_BITS`` / 64 of them.  It only spares work: a full one lets all pass.
+    ``MOST_BITS`` / 64 of them.  It only spares work: a full one lets all pass.
     """
+    bits = filter_bits(n)
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        row = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            at = _slots(b.column(0).to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
+            at = _slots(b.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(row, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = row.view(np.int64)
         used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "bits"])
+        for i in range(0, len(used), 1 << 16):
+            at = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["word", "bits"])
 
     got = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return words.view(np.uint8)
 
 
 def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _slots(h)
+    at = _slots(h, 8 * len(bits))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -131,27 +170,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ).distinct()
 
     def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
-        """The checkpointed edges in partitions that suit their number, and their count and checksum."""
+        """The checkpointed edges, and their count and checksum."""
         e = checkpoint(e)
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        return e, (mark[0], mark[1])
+
+    def narrowed(e: DataFrame, mark: tuple) -> DataFrame:
+        """The edges in partitions that suit their number."""
         parts = 1 + mark[0] // EDGES_PER_PARTITION
-        return (e.coalesce(parts) if parts < partitions(e.sparkSession) else e), (mark[0], mark[1])
+        return e.coalesce(parts) if parts < partitions(e.sparkSession) else e
 
     def both_ways(e: DataFrame) -> DataFrame:
         return e.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
-    cur, seen = settled(shape(edges))
+    # the files of a round go as soon as the next one has written its own
+    kept, seen = settled(shape(edges))
+    cur = narrowed(kept, seen)
     while seen[0]:
         # larger neighbours go to the smallest one; a hub's rows can be split, as this is a join
         both = both_ways(cur)
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         # smaller neighbours, and the node itself, go to the smallest one
-        m = F.min("dst").over(Window.partitionBy("src"))
-        small = large.select("src", "dst", m.alias("m")).select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(least, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         nxt, now = settled(shape(small))
-        cur = nxt
-        del both, low, large, small, nxt
+        del both, low, large, least, small, cur
+        drop_checkpoint(kept)
+        kept, cur = nxt, narrowed(nxt, now)
         free_shuffles(edges.sparkSession)
         if now == seen:
             break

@@ -14,12 +14,12 @@ two need ``DENSE`` words that are not open (all, below ``LITERALS`` words): a ro
 mere numbers or names would match every other.  Items with fewer words are one
 window of their length.
 
-Windows of documents first pass a broadcast bitmap of fixed size made from the
+Windows of documents first pass a broadcast bitmap of bounded size made from the
 benchmark's windows, then meet these in a hash join (broadcast only if counted to
 be few).  Of the matched windows on one diagonal of a document and an item, those
 count whose slots hold the item's own values, and those that fill the item's slots
-consistently: one value of the item maps to one value of the document, the one that
-stands in its place more often than any other (in a draw, none).  A document is contaminated by an item if consistent windows cover at
+consistently: one value of the item maps to one value of the document and back, the
+one that stands in its place more often than any other (in a draw, none).  A document is contaminated by an item if consistent windows cover at
 least half of the item's words, or ``ENOUGH`` of them, among these ``LITERALS``
 words that are the same in both (or as many as the item has outside its slots).
 
@@ -46,7 +46,7 @@ from .common import hash_filter, in_filter, small_batches, text_hash
 
 WINDOW, ENOUGH, SHORTEST, LITERALS, DENSE = 8, 13, 3, 5, 2
 STREAMS = (0, 1, 2)  # templates, numbers open, as they are
-#: Benchmark windows up to this number are broadcast for the join (about 100 bytes each).
+#: Benchmark windows up to this number are broadcast for the join (a few hundred bytes each at most: at most WINDOW slots).
 BROADCAST_WINDOWS = 200_000
 
 UNITS = (
@@ -165,6 +165,7 @@ class Templates:
         self.template = np.where(num, _NUM, np.where(name, _NAME, np.where(unit, _UNIT, literal)))
         self.literal = np.where(num, _NUM, literal)
         self.exact = literal
+        self.value = tv.mix(tv.spans_hash(data, s, e) + self.kind.astype(np.uint64)).astype(np.int64)
         n = len(s) + 1
         self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (_BASE, _BACK))
 
@@ -188,19 +189,19 @@ class Templates:
         return first[ok], h[ok]
 
     def slots(self, first: int, width: int, stream: int) -> list[dict]:
-        """Offset in the window and value of each open word."""
+        """Offset in the window and hashed value of each open word."""
         out: list[dict] = []
         if stream == 2:
             return out
         for k in range(first, first + width):
             kind = int(self.kind[k])
             if kind == 1 or (kind and stream == 0):
-                out.append({"at": k - first, "value": f"{kind}{self.data[self.start[k] : self.end[k]].tobytes().decode('utf-8', 'replace')}"})
+                out.append({"at": k - first, "value": int(self.value[k])})
         return out
 
 
-_FOUND = "key1 long, key2 long, h long, pos int, slots array<struct<at:int,value:string>>"
-_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
+_FOUND = "key1 long, key2 long, h long, pos int, slots array<struct<at:int,value:bigint>>"
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())]))
 
 
 def _window_rows(widths, wanted):
@@ -252,24 +253,30 @@ def _count_plain(texts):
     return pd.Series(np.diff(plain[t.at]).astype("int64"))
 
 
-def _judge(windows) -> dict:
-    """Item words that the windows of one diagonal cover, those the same in both texts, those of windows with the item's own values."""
-    places: dict[str, dict[str, set[int]]] = {}
+def _usual(windows, of: str, to: str) -> dict[int, int]:
+    """The value ``to`` that stands most often for each value ``of``; none in a draw."""
+    places: dict[int, dict[int, set[int]]] = {}
     for w in windows:
         for p in w["pairs"]:
-            places.setdefault(p["item"], {}).setdefault(p["doc"], set()).add(w["ipos"] + p["at"])
-    value: dict[str, str] = {}
-    for item, docs in places.items():
-        most = max(map(len, docs.values()))
-        top = [doc for doc, at in docs.items() if len(at) == most]
+            places.setdefault(p[of], {}).setdefault(p[to], set()).add(w["ipos"] + p["at"])
+    out: dict[int, int] = {}
+    for x, others in places.items():
+        most = max(map(len, others.values()))
+        top = [y for y, at in others.items() if len(at) == most]
         if len(top) == 1:
-            value[item] = top[0]
+            out[x] = top[0]
+    return out
+
+
+def _judge(windows) -> dict:
+    """Item words that the windows of one diagonal cover, those the same in both texts, those of windows with the item's own values."""
+    value, back = _usual(windows, "item", "doc"), _usual(windows, "doc", "item")
     words: set[int] = set()
     alike: set[int] = set()
     own: set[int] = set()
     for w in windows:
         changed = {w["ipos"] + p["at"] for p in w["pairs"] if p["item"] != p["doc"]}
-        if changed and any(value.get(p["item"]) != p["doc"] for p in w["pairs"]):
+        if changed and any(value.get(p["item"]) != p["doc"] or back.get(p["doc"]) != p["item"] for p in w["pairs"]):
             continue
         span = range(w["ipos"], w["ipos"] + w["width"])
         words.update(span)
@@ -305,8 +312,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.join(
         items.select(F.col("item_id").alias("key1"), F.col("item_hash").alias("key2"), "n_words", "n_plain"), ["key1", "key2"]
     ).select("h", F.col("key1").alias("item_id"), F.col("key2").alias("item_hash"), F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "width", "n_words", "n_plain")
-    bits = spark.sparkContext.broadcast(hash_filter(windows.select("h")))
-    few = windows.count() <= BROADCAST_WINDOWS
+    n_windows = windows.count()
+    bits = spark.sparkContext.broadcast(hash_filter(windows.select("h"), n_windows))
+    few = n_windows <= BROADCAST_WINDOWS
 
     def wanted(h):
         return in_filter(bits.value, h)
@@ -334,7 +342,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that any item contaminates."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(
-        gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_hash(docs["text"]) == F.col("_gone_hash")), "left_anti"
+    gone = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.col("doc_id").isNull().alias("none"), text_hash(F.col("text")).alias("hash"),
     )
+    return rows.join(gone, ["id", "none", "hash"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

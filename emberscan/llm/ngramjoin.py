@@ -22,13 +22,19 @@ words, held as sorted 64-bit hashes.  Two documents link when
    shingles from both can only make sets differ less), so that a passage which
    many documents share makes no keys; the sample steers cost, never results.
 3. Documents with a common key are chained to the smallest id in that key (never
-   all pairs), and chains carried over to classes; connected chains are candidate groups.  A group larger than
-   ``TILE`` is cut into tiles by size, and only tiles whose sizes can link meet.
-4. Tiles are gone through twice.  First with hashed bitmaps alone (a sixteenth
+   all pairs): smallest ids come from a partially aggregated minimum over the keys,
+   written once, and only keys that two documents share are joined back.  Chains
+   carry over to classes; connected chains are candidate groups.
+4. Groups are gone through twice.  First with hashed bitmaps alone (a sixteenth
    of a set's bytes), whose bit counts bound overlap from above: only what they
    cannot rule out stays a candidate.  Then, in the much smaller groups that are
-   left, what passes the bound and is not yet connected inside the tile is
-   decided by exact intersection of the sorted arrays.
+   left, what passes the bound and is not yet connected is decided by exact
+   intersection of the sorted arrays.  A group larger than ``TILE`` is compared
+   with one of its sets of middle size first, in parts of a tile's size; what links
+   to it is connected and needs no test among itself.  All other pairs, those of
+   a set that does not link to it with any set of the group, meet in tiles cut by size, of
+   which only those whose sizes can link meet.  So a group of copies of one text costs
+   in proportion to its size.
 5. Links between classes, and members to their class, give components.
 
 Result of ``link_components``: (doc_id, text_hash, n_shingles, component_id).
@@ -36,20 +42,21 @@ Result of ``link_components``: (doc_id, text_hash, n_shingles, component_id).
 Defined results: without words (null, empty, blank text) the set is empty and
 linked with nothing; rows with a null doc_id link with nothing and have a null
 component; rows with the same doc_id are one document for links; an empty table
-gives no rows.
+gives no rows.  For ``keep_one`` rows are one document only if doc_id and text are equal.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import checkpoint, connected_components, free_shuffles, hash_filter, in_filter, small_batches, text_hash
+from .common import checkpoint, connected_components, delete_path, drop_checkpoint, free_shuffles, hash_filter, in_filter, shared_folder, small_batches, text_hash
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
@@ -175,11 +182,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(id, shingles) of the members (doc_id, text_hash, id), from a second pass over the texts.
 
-    A broadcast bitmap of fixed size spares the shuffle of texts that are no
+    A broadcast bitmap of bounded size spares the shuffle of texts that are no
     member's; the join removes what passed it by chance.
     """
     pair = F.xxhash64("doc_id", "text_hash")
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(pair)))
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(pair), members.count()))
 
     def run(batches):
         for batch in tv.batches(batches):
@@ -287,20 +294,22 @@ class Bitmaps:
         return out
 
 
-def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """What the links of a tile (pair) connect: each id with the smallest that it reaches here.
+def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndarray, tied: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What the links of a tile (pair) connect: each id with another that it reaches here.
 
     ``left``: rows of the first tile of a pair; if there are others, only pairs
-    across are looked at.  Rows are visited by size, partners by nearness in
-    size; a pair already connected here needs no test.  Without ``sets`` a link
+    across are looked at.  ``tied``: rows known to be connected.  Rows are visited by size, partners by nearness in
+    size; a pair already connected needs no test.  Without ``sets`` a link
     is what the bitmaps cannot rule out.
     """
     order = np.argsort(size, kind="stable")
-    size, ids, left = size[order], [ids[i] for i in order], left[order]
+    size, ids, left, tied = size[order], [ids[i] for i in order], left[order], tied[order]
     sets = [sets[i] for i in order] if sets is not None else None
     maps = Bitmaps([bits[i] for i in order], size)
     across = not left.all()
     root = np.arange(len(ids))
+    if tied.any():
+        root[tied] = tied.argmax()
     for i in range(1, len(ids)):
         lo = int(np.searchsorted(size[:i], -(-percent * size[i] // 100), "left"))
         js = np.arange(lo, i)
@@ -320,67 +329,139 @@ def link_tile(ids, size: np.ndarray, bits: list[np.ndarray], sets, left: np.ndar
             a, b = root[i], root[j]
             root[root == max(a, b)] = min(a, b)
     least: dict[int, int] = {}
+    for r, x, t in zip(root.tolist(), ids, tied.tolist()):
+        if t:
+            least[r] = x  # any of them, as they are connected already
+    known = set(least)
     for r, x in zip(root.tolist(), ids):
-        least[r] = min(x, least.get(r, x))
-    return [(x, least[r]) for r, x in zip(root.tolist(), ids) if x != least[r]]
+        if r not in known:
+            least[r] = min(x, least.get(r, x))
+    return [(x, least[r]) for r, x, t in zip(root.tolist(), ids, tied.tolist()) if not t and x != least[r]]
+
+
+def _arrays(column) -> list[np.ndarray]:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return [np.frombuffer(x.as_buffer(), np.uint64) for c in chunks for x in c]
 
 
 def _tiles(percent: int, exact: bool):
     def run(key, t):
-        ids = t.column("id").to_pylist()
-        data = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("data").chunks for x in c]
-        if exact:
-            size = np.array([len(s) for s in data])
-            links = link_tile(ids, size, [bitmap(s) for s in data], data, t.column("left").to_numpy(), percent)
-        else:
-            links = link_tile(ids, t.column("n").to_numpy(), data, None, t.column("left").to_numpy(), percent)
+        ids, data = t.column("id").to_pylist(), _arrays(t.column("data"))
+        size = t.column("n").to_numpy()
+        bits = [bitmap(s) for s in data] if exact else data
+        links = link_tile(ids, size, bits, data if exact else None, t.column("left").to_numpy(), t.column("tied").to_numpy(), percent)
         return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
+def _star(percent: int, exact: bool):
+    """Batches (id, n, data, centre, cn, cdata) -> (src, dst): those that link to their centre."""
+
+    def run(batches):
+        for batch in batches:
+            ids, n, centre, cn = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            src, dst = [], []
+            for i, (x, y) in enumerate(zip(_arrays(batch.column(2)), _arrays(batch.column(5)))):
+                if ids[i] == centre[i]:
+                    continue
+                pair, sizes = ([x, y] if n[i] <= cn[i] else [y, x]), np.sort([n[i], cn[i]])
+                both = np.ones(2, bool)
+                if link_tile([0, 1], sizes, [bitmap(s) for s in pair] if exact else pair, pair if exact else None, both, ~both, percent):
+                    src.append(ids[i])
+                    dst.append(centre[i])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
+def star_links(groups: DataFrame, data: DataFrame, percent: int, exact: bool, weight: Column, tile: int) -> DataFrame | None:
+    """(src, dst): in each group above a tile's size, the sets that link to one of middle size; None without such groups."""
+    large = groups.groupBy("grp").agg(F.sum(weight).alias("w"), F.percentile_approx("n", 0.5).alias("mid")).filter(F.col("w") > tile)
+    large = checkpoint(large.withColumn("parts", F.ceil(F.col("w") / tile).cast("int")))
+    if large.isEmpty():
+        return None
+    inside = groups.join(large, "grp")
+    centre = inside.groupBy("grp", "parts").agg(F.min_by(F.struct("id", "n"), F.struct(F.abs(F.col("n") - F.col("mid")), F.col("id"))).alias("c"))
+    centre = centre.select("grp", "parts", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")).join(
+        data.select(F.col("id").alias("centre"), F.col("data").alias("cdata")), "centre"
+    ).select("grp", "centre", "cn", "cdata", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = inside.select("id", "grp", "n", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).join(data, "id")
+    both = rows.join(centre, ["grp", "part"]).select("id", "n", "data", "centre", "cn", "cdata")
+    return checkpoint(both.mapInArrow(_star(percent, exact), "src long, dst long"))
+
+
 def links_of_groups(groups: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """(id, grp, n) and (id, data) -> (src, dst): what links connect inside the groups, tile by tile."""
-    placed, sides = tile_work(groups, percent, SMALL if exact else SMALL // 8, TILE if exact else TILE * 4)
-    work = data.join(placed.select("id", "grp", "tile", "n"), "id").join(sides, ["grp", "tile"])
-    return work.select("grp", "ta", "tb", "left", "id", "n", "data").groupBy("grp", "ta", "tb").applyInArrow(
+    """(id, grp, n) and (id, data) -> (src, dst): what links connect inside the groups."""
+    small = SMALL if exact else SMALL // 2
+    star = star_links(groups, data, percent, exact, F.greatest(F.col("n"), F.lit(small)), TILE)
+    if star is None:
+        marked = groups.withColumn("tied", F.lit(False))
+    else:
+        tied = star.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("tied", F.lit(True))
+        marked = groups.join(tied, "id", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+    placed, sides = tile_work(marked, percent, small, TILE)
+    work = data.join(placed.select("id", "grp", "tile", "n", "tied"), "id").join(sides, ["grp", "tile"])
+    links = work.select("grp", "ta", "tb", "left", "tied", "id", "n", "data").groupBy("grp", "ta", "tb").applyInArrow(
         _tiles(percent, exact), "src long, dst long"
     )
+    return links if star is None else links.unionByName(star)
 
 
 def chains(keys: DataFrame) -> DataFrame:
-    """(key, id) -> (src, dst): each id with the smallest of each key."""
-    low = F.min("id").over(Window.partitionBy("key"))
-    return keys.select(F.col("id").alias("src"), low.alias("dst")).filter("src <> dst").distinct()
+    """(key, id) -> (src, dst): each id with the smallest of each key that it shares; ``keys`` is read twice.
+
+    A key that many hold is one row per task before the shuffle of the minima, and
+    many rows that meet one row in the join, which Spark can split.
+    """
+    shared = keys.groupBy("key").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top").select("key", "dst")
+    shared = checkpoint(shared)
+    bits = keys.sparkSession.sparkContext.broadcast(hash_filter(shared.select("key"), shared.count()))
+
+    def held(batches):
+        for batch in batches:
+            hit = in_filter(bits.value, batch.column(0).to_numpy(zero_copy_only=False))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    found = keys.mapInArrow(held, "key long, id long").join(shared, "key")
+    return found.filter("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
 
 
 def tile_work(members: DataFrame, percent: int, small: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(id, grp, n) -> (id, grp, tile) and (grp, tile, ta, tb, left): who meets whom.
+    """(id, grp, n, tied) -> (id, grp, tile, n, tied) and (grp, tile, ta, tb, left): who meets whom.
 
-    Ranks by size come from counts per (group, size), so no group is sorted in
-    one task; sets of one size are spread by hash over the tiles they span.
+    Tied sets of a group are connected, so their tiles do not meet each other.  Ranks by size come from counts per
+    (group, tied, size), so no group is sorted in one task; sets of one size are
+    spread by hash over the tiles they span.
     """
     weight = F.greatest(F.col("n"), F.lit(small))
-    sizes = members.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("grp", "n", "c", F.coalesce(F.sum(F.col("c") * weight).over(w), F.lit(0)).alias("c0"))
-    placed = members.join(sizes, ["grp", "n"]).select(
-        "grp", "id", "n", F.expr(f"cast((c0 + pmod(xxhash64(id), c) * greatest(n, {small})) div {tile} as long)").alias("tile")
+    sizes = members.groupBy("grp", "tied", "n").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("grp", "tied").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("grp", "tied", "n", "c", F.coalesce(F.sum(F.col("c") * weight).over(w), F.lit(0)).alias("c0"))
+    placed = members.join(sizes, ["grp", "tied", "n"]).select(
+        "grp", "id", "n", "tied",
+        F.expr(f"cast(2 * ((c0 + pmod(xxhash64(id), c) * greatest(n, {small})) div {tile}) + cast(tied as int) as long)").alias("tile"),
     )
     placed = checkpoint(placed)
-    spans = placed.groupBy("grp", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = spans.alias("a").join(
-        spans.alias("b"), F.expr(f"a.grp = b.grp and a.tile <= b.tile and 100 * a.hi >= {percent} * b.lo")
-    ).select(F.col("a.grp").alias("grp"), F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"))
+    spans = placed.groupBy("grp", "tile", "tied").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    can = f"100 * a.hi >= {percent} * b.lo and 100 * b.hi >= {percent} * a.lo"
+    pairs = spans.alias("a").join(spans.alias("b"), F.expr(f"a.grp = b.grp and a.tile <= b.tile and not (a.tied and b.tied) and {can}")).select(
+        F.col("a.grp").alias("grp"), F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb")
+    )
     sides = pairs.select("grp", F.col("ta").alias("tile"), "ta", "tb", F.lit(True).alias("left")).unionByName(
         pairs.filter("ta < tb").select("grp", F.col("tb").alias("tile"), "ta", "tb", F.lit(False).alias("left"))
     )
     return placed, sides
 
 
-def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs``."""
-    small_batches(docs.sparkSession)
+def _components(docs: DataFrame, n: int, percent: int, tie_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, components): (doc_id, text_hash, n_shingles, id, low_id), (id, low_id), (id, component).
+
+    With ``tie_ids`` the classes that rows of one doc_id fall into are connected.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = checkpoint(_texts(docs).mapInArrow(_rows(n), _ROWS))
     fp = ["fp1", "fp2", "n_shingles"]
     low = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*fp).agg(
@@ -394,28 +475,38 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         .select("doc_id", "text_hash", "n_shingles", "id", "low_id")
     )
 
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
-    keys = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
-    found = checkpoint(chains(keys))
-    free_shuffles(docs.sparkSession)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n))
+    path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
+    filed = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
+    filed.write.parquet(path)
+    found = checkpoint(chains(spark.read.schema("key long, id long").parquet(path)))
+    delete_path(spark, path)
+    free_shuffles(spark)
     name = classed.filter("id is not null").select("doc_id", "id").distinct()
-    found = found.join(name.select(F.col("doc_id").alias("src"), F.col("id").alias("a")), "src").join(
+    linked = found.join(name.select(F.col("doc_id").alias("src"), F.col("id").alias("a")), "src").join(
         name.select(F.col("doc_id").alias("dst"), F.col("id").alias("b")), "dst"
     ).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(found).select("id", F.col("component").alias("grp"))
+    groups = connected_components(linked).select("id", F.col("component").alias("grp"))
+    drop_checkpoint(found)
     members = checkpoint(groups.join(rep, "id"))
     maps = rows.join(members.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).dropDuplicates(["id"])
     close = links_of_groups(members.select("id", "grp", "n"), maps.select("id", F.col("bits").alias("data")), percent, exact=False)
     groups = connected_components(close).select("id", F.col("component").alias("grp"))
+    drop_checkpoint(members)
+    drop_checkpoint(rows)
     members = checkpoint(groups.join(rep, "id"))
     sets = _wanted_sets(docs, members, n).dropDuplicates(["id"])
     links = links_of_groups(members.select("id", "grp", "n"), sets.select("id", F.col("shingles").alias("data")), percent, exact=True)
+    if tie_ids:
+        several = classed.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top")
+        links = links.unionByName(classed.join(several, "doc_id").select(F.col("id").alias("src"), "dst"))
+    return classed, low.select("id", "low_id"), connected_components(links)
+
 
-    # a doc_id whose rows fall into several classes ties these together
-    several = classed.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top")
-    ties = classed.join(several, "doc_id").select(F.col("id").alias("src"), "dst")
-    found = connected_components(links.unionByName(ties))
-    named = found.join(low.select("id", "low_id"), "id")
+def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) of every row of ``docs``."""
+    classed, low, found = _components(docs, n, percent, tie_ids=True)
+    named = found.join(low, "id")
     least = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
     found = named.join(least, "component").select("id", "component_id")
     return classed.join(found, "id", "left").select(
@@ -425,21 +516,19 @@ def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id.
+    """``docs`` with one row of each group: the smallest by doc_id, then by a hash of the text.
 
-    Rows with a null doc_id stay.  Of several rows with one doc_id, one with the
-    smallest text hash stays.
+    Rows with a null doc_id and rows without words stay.  Rows of one doc_id with
+    different texts are judged each by its own text.
     """
-    linked = link_components(docs, n, percent).filter("doc_id is not null")
-    ids = linked.groupBy("doc_id").agg(
-        F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count(F.lit(1)).alias("c"), F.min("component_id").alias("component_id")
-    )
-    gone = ids.filter("component_id <> doc_id").select("doc_id")
-    several = checkpoint(ids.filter("component_id = doc_id and c > 1").select("doc_id", "low"))
-    rest = docs.join(gone.unionByName(several.select("doc_id")), "doc_id", "left_anti")
-    first = (
-        docs.withColumn("_low", text_hash(F.coalesce("text", F.lit(""))))
-        .join(several.withColumnRenamed("low", "_low"), ["doc_id", "_low"], "left_semi")
-        .dropDuplicates(["doc_id"]).drop("_low")
-    )
-    return rest.unionByName(first.select(*docs.columns)).select(*docs.columns)
+    classed, _, found = _components(docs, n, percent, tie_ids=False)
+    own = classed.filter("id is not null").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = checkpoint(own.groupBy("doc_id", "text_hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("c")))
+    first = each.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
+    judged = each.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("f"))
+    gone = judged.filter("not stays or c > 1").select("doc_id", "text_hash", "stays")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    key = ["doc_id", "text_hash"]
+    rest = rows.join(gone.select(*key), key, "left_anti").select("row")
+    repeated = rows.join(gone.filter("stays").select(*key), key, "left_semi").dropDuplicates(key).select("row")
+    return rest.unionByName(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

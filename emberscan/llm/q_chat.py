@@ -31,23 +31,25 @@ t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
          14 + length(replace({_ESC.format('role')}, '>', '\\g')) + length({_ESC.format('text')}) AS chars
   FROM raw),
-s AS (SELECT *, pos = 1 AND role = 'system' AS is_sys, (chars + 3) // 4 AS tok FROM t),
+u AS (SELECT *, (chars + 3) // 4 AS tok FROM t),
+s AS (SELECT *, pos = 1 AND role = 'system' AND 2 * tok <= {BUDGET - HISTORY} AS is_sys FROM u),
 c AS (
-  SELECT *, CASE WHEN is_sys THEN 0 ELSE tok END AS cost,
-         greatest(({BUDGET - HISTORY} - sum(CASE WHEN is_sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id)) // 2, 1) AS half
-  FROM s),
+  SELECT *, CASE WHEN is_sys THEN 0 ELSE tok END AS cost, sum(CASE WHEN is_sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM s),
 p AS (
-  SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT *, greatest(({BUDGET - HISTORY} - sys) // 2, 1) AS half,
+    coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM c),
+g AS (SELECT *, cost > half AS big, cost > half AND sys > 0 AND cost + sys > {BUDGET} AS bare FROM p),
 b AS (
-  SELECT *, CASE WHEN pos > 1 AND NOT lag(is_sys) OVER w
-      AND (cost > half OR lag(cost > half) OVER w OR before // half <> lag(before // half) OVER w) THEN 1 ELSE 0 END AS begins
-  FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+  SELECT *, CASE WHEN pos > 1 AND (NOT lag(is_sys) OVER w OR bare)
+      AND (big OR lag(big) OVER w OR before // half <> lag(before // half) OVER w) THEN 1 ELSE 0 END AS begins,
+    CASE WHEN big THEN greatest({BUDGET} - cost - CASE WHEN bare THEN 0 ELSE sys END, -1) ELSE {HISTORY} END AS spare
+  FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 k AS (SELECT *, sum(begins) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM b),
 h AS (
-  SELECT *, CASE WHEN NOT is_sys AND lead(win, 1) OVER w <> win AND lead(before, 1) OVER w - before <= {HISTORY} THEN chars ELSE 0 END
-    + CASE WHEN NOT is_sys AND lead(win, 2) OVER w <> lead(win, 1) OVER w AND lead(before, 2) OVER w - before <= {HISTORY} THEN chars ELSE 0 END
-    + CASE WHEN is_sys THEN chars * max(win) OVER (PARTITION BY conv_id) ELSE 0 END AS again
+  SELECT *, CASE WHEN NOT is_sys AND lead(win, 1) OVER w <> win AND lead(before, 1) OVER w - before <= least({HISTORY}, lead(spare, 1) OVER w) THEN chars ELSE 0 END
+    + CASE WHEN NOT is_sys AND lead(win, 2) OVER w <> lead(win, 1) OVER w AND lead(before, 2) OVER w - before <= least({HISTORY}, lead(spare, 2) OVER w) THEN chars ELSE 0 END
+    + CASE WHEN is_sys THEN chars * (max(win) OVER (PARTITION BY conv_id) - count(*) FILTER (bare AND win > 0) OVER (PARTITION BY conv_id)) ELSE 0 END AS again
   FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,

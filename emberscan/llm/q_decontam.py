@@ -1,4 +1,7 @@
-"""op3: which documents hold which benchmark items."""
+"""op3: which documents hold which benchmark items.
+
+A pair (doc_id, item_id) repeats where rows of one id hold different texts.
+"""
 
 from .common import table
 from .decontam import contaminated

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from emberscan.llm import q_chat
-from emberscan.llm.chat import BUDGET, CLOSE, OPEN, format_windows, read_back
+from emberscan.llm.chat import BUDGET, CLOSE, HISTORY, OPEN, format_windows, read_back
 
 SCHEMA = "conv_id long, turn long, role string, text string, window int, cost string"
 
@@ -66,6 +66,49 @@ def test_repeated_history_exists(spark):
     assert sum(len(r.loss) for r in ws) == 50
 
 
+def test_no_window_exceeds_the_budget_but_for_one_turn(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(120):
+        system = rng.choice([0, 50, 3000, 6000, 7100, 7300, 14_000, 20_000])
+        large = rng.choice([20, 900, 4000, 9000, 16_000, 30_000])
+        if system:
+            rows.append((c, 0, "system", "s" * system, 1, "x"))
+        rows += [(c, t, rng.choice(["user", "assistant"]), "w" * rng.randrange(large), 1, "x") for t in range(1, rng.randrange(2, 30))]
+    rows += [(200, 0, "system", "s" * 14_000, 1, "x")] + [(200, t, "user", "w" * 900, 1, "x") for t in range(1, 20)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    ws = format_windows(df).collect()
+    cost = lambda p: -(-(len(p) + len(CLOSE)) // 4)
+    whole = {c: next((cost(f"{OPEN}system>{r[3]}") for r in rows if r[0] == c and r[2] == "system"), 0) for c in range(201)}
+    for r in ws:
+        pieces = r.formatted.split(CLOSE)[:-1]
+        assert r.cost <= BUDGET or len(pieces) == 1
+        if 0 < 2 * whole[r.conv_id] <= BUDGET - HISTORY and not pieces[0].startswith(OPEN + "system>"):
+            assert sum(map(cost, pieces[r.n_repeated :])) + whole[r.conv_id] > BUDGET  # no room for it
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(format_windows(df)).collect()}
+    assert got == brute(rows)
+    assert any(not r.formatted.startswith(OPEN + "system>") and whole[r.conv_id] for r in ws) and max(r.cost for r in ws) > BUDGET
+
+
+@pytest.mark.parametrize("budget, history", [(40, 10), (8, 8), (300, 0)])
+def test_other_budgets(spark, budget, history):
+    rows, df = conversations(spark)
+    ws = format_windows(df, budget, history)
+    assert all(r.cost <= budget or len(r.formatted.split(CLOSE)) == 2 for r in ws.collect())
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(ws).collect()} == brute(rows)
+
+
+def test_sql_on_awkward_rows(spark, tmp_path):
+    rows, df = conversations(spark)
+    rows += [(300 + k, t, "system" if t == 0 else "user", "s" * (n if t == 0 else m), 1, "x") for k, (n, m) in enumerate([(14_000, 900), (7000, 14_000), (6000, 12_000), (100, 17_000)]) for t in range(9)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    got = q_chat.op7_chat_format(spark, str(tmp_path)).select(*cols)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(q_chat.SQL).fetchall()))
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_sql(spark, sf):
     con = duckdb.connect()

@@ -1,10 +1,9 @@
 import random
 
 import duckdb
-import pytest
 
 from emberscan.llm import q_urlfilter, urlfilter
-from emberscan.llm.urlfilter import Index, judge_urls, split_url, write_index
+from emberscan.llm.urlfilter import Index, index_files, judge_urls, split_url
 
 RULES = q_urlfilter.RULES
 
@@ -36,21 +35,49 @@ def test_against_brute_force(spark):
     assert {r.verdict for r in judge_urls(df.limit(3), [], default="block").collect()} == {"block"}
 
 
+def index(folder, rules, shard_bytes=1 << 20):
+    paths = []
+    for k, content in enumerate(index_files(rules, shard_bytes)):
+        paths.append(str(folder / f"i{shard_bytes}-{k}"))
+        (folder / f"i{shard_bytes}-{k}").write_bytes(content)
+    return Index(paths)
+
+
 def test_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: 7)
-    write_index(RULES, str(tmp_path / "i"))
-    index = Index(str(tmp_path / "i"))
+    got = index(tmp_path, RULES)
     for u in URLS:
         host, path, rule, verdict = brute(u, RULES)
-        assert index.judge([(host, path)]) == [(rule, verdict if rule else None)]
+        assert got.judge([(host, path)]) == [(rule, verdict if rule else None)]
+
+
+def test_same_rule_twice_blocks(tmp_path):
+    got = index(tmp_path, [("a.com", "/x", "block"), ("A.com", "/x", "allow")])
+    assert got.judge([("a.com", "/xy")]) == [("a.com/x", "block")]
+
+
+def test_any_number_of_files_gives_the_same(tmp_path):
+    rules = [(f"h{i % 50}.com", f"/p{i}", "block" if i % 3 else "allow") for i in range(500)]
+    parts = [(f"m.h{i % 60}.com", f"/p{i % 700}x") for i in range(1000)]
+    one, many = index(tmp_path, rules), index(tmp_path, rules, 300)
+    assert len(many.shards) > 10
+    assert one.judge(parts) == many.judge(parts) == [b[2:] if b[2] else (None, None) for b in (brute(f"x://{h}{p}", rules) for h, p in parts)]
+
+
+def test_host_and_path_are_kept_apart(spark, tmp_path):
+    rules = [("exa", "mple.com", "block"), ("other.org", "", "block"), ("b.com", "/a", "allow")]
+    urls = ["http://example.com/", "http://other.org", "http://b.com/abc", "http://x/b.com/a", "http://" + "a." * 3000 + "b.com/" + "a" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(df, rules).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)} and got[0][2] is None
 
 
-def test_same_rule_twice_blocks_and_size_is_bounded(tmp_path, monkeypatch):
-    write_index([("a.com", "/x", "block"), ("A.com", "/x", "allow")], str(tmp_path / "i"))
-    assert Index(str(tmp_path / "i")).judge([("a.com", "/xy")]) == [("a.com/x", "block")]
-    monkeypatch.setattr(urlfilter, "MAX_INDEX_BYTES", 10)
-    with pytest.raises(ValueError):
-        write_index(RULES, str(tmp_path / "j"))
+def test_the_same_rules_are_shared_once(spark):
+    before = len(spark.sparkContext.listFiles)
+    df = spark.createDataFrame([(1, "http://q.com/a")], "page_id long, url string")
+    for _ in range(3):
+        assert judge_urls(df, [("q.com", "/a", "block")]).first().verdict == "block"
+    assert len(spark.sparkContext.listFiles) <= before + 1
 
 
 def test_sql(spark):
