@@ -3,37 +3,39 @@
 A text's letters (ASCII and Latin-1 lower-cased, all else a blank) give byte
 n-grams of 2, 3 and 4, hashed to ``BUCKETS`` rows of an embedding table.  Their
 average goes through a linear softmax.  Table and softmax are trained together
-by stochastic gradient descent in numpy, on a sample of at most about
-``SAMPLE_DOCS`` labelled documents, spread over the languages; of these a fifth
+by stochastic gradient descent in numpy, on a sample of labelled documents, the
+same number of each language: ``SAMPLE_DOCS`` in all or ``LEAST_DOCS`` of each, whichever
+is more, so that no language goes unlearned; of these a fifth
 is held back to fit a temperature (never sharpening) and the rejection threshold: the score below
 which fewer than ``LOSS`` of the rightly labelled fall, never more than one half.
 
-As average and softmax are linear, prediction needs one table of bucket x
-language logits only, gathered for whole texts without a loop over words.
+As average and softmax are linear, prediction gathers one table row for each n-gram,
+without a loop over words: of the language logits where these are fewer than the
+embedding's ``WIDTH``, else of the embedding, which the softmax then takes as an average.
 
-Defined results: a null text or one without a letter is ``und`` with score 0 and
-rejected; with no labelled document at all every text is; ties go to the
+Defined results: a null text or one without a letter (Unicode's L classes; number
+signs are none) is ``und`` with score 0 and
+rejected; such rows are not learned from; with no labelled document at all every text is; ties go to the
 language first in order; repeated rows are judged alike; an empty table gives no
 rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import small_batches
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
-#: Bounds of what a fit sees: documents, and languages (the most frequent).
-SAMPLE_DOCS, MAX_LANGUAGES = 2400, 500
+#: Bounds of what a fit sees: documents in all, or of each language if that is more.
+SAMPLE_DOCS, LEAST_DOCS = 2400, 20
 EPOCHS, LOSS, UNKNOWN = 6, 0.001, "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[128:] = np.arange(128, 256)
 _CLASS[97:123] = np.arange(97, 123)
@@ -72,16 +74,24 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """languages, logit table (buckets x languages), bias, temperature, threshold."""
+    """languages, embedding (buckets x width), softmax (width x languages), bias, temperature, threshold.
+
+    ``table`` is the narrower of embedding and their product, ``out`` what is left to apply to an average of its rows.
+    """
 
-    def __init__(self, languages, table, bias, temperature=1.0, threshold=0.0):
-        self.languages, self.table, self.bias = list(languages), table.astype(np.float32), bias
+    def __init__(self, languages, emb, out, bias, temperature=1.0, threshold=0.0):
+        self.languages, self.bias = list(languages), bias
+        self.table, self.out = (emb @ out, None) if len(self.languages) <= emb.shape[1] else (emb, out)
+        self.table = self.table.astype(np.float32)
         self.temperature, self.threshold = temperature, threshold
 
+    def of_average(self, rows: np.ndarray) -> np.ndarray:
+        return (rows if self.out is None else rows @ self.out) + self.bias
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        total = np.zeros((len(offsets) - 1, self.table.shape[1]))
         count = np.zeros(len(offsets) - 1)
-        piece = max(1 << 14, (1 << 22) // len(self.languages))
+        piece = max(1 << 14, (1 << 22) // self.table.shape[1])
         for n in ORDERS:
             begin, end = _spread(offsets, n)
             code = grams(data, n)
@@ -96,7 +106,7 @@ class Model:
                 some = np.flatnonzero(hi > lo)
                 total[some] += np.add.reduceat(got, lo[some] - at, axis=0)
             count += end - begin
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        return self.of_average(total / np.maximum(count, 1)[:, None])
 
     def _padded(self) -> np.ndarray:
         if not hasattr(self, "_pad"):
@@ -117,10 +127,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 5) -> Model:
     """Train on (buckets, counts) of texts; the order given does not matter much, the seed fixes it."""
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+    at = {x: k for k, x in enumerate(languages)}
+    y = np.array([at[x] for x in labels])
     rng = np.random.default_rng(seed)
     n, c = len(y), len(languages)
-    held = np.arange(n) % 5 == 4 if n >= 20 else np.zeros(n, bool)
+    held = np.arange(n) % 5 == 4
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     out, bias = np.zeros((WIDTH, c)), np.zeros(c)
     out += rng.normal(0, 0.1, out.shape)
@@ -136,10 +147,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
             out -= rate * np.outer(hidden, grad)
             bias -= 0.1 * rate * grad
             emb[idx] -= rate * np.outer(share / (share @ share), back)
-    model = Model(languages, emb @ out, bias)
+    model = Model(languages, emb, out, bias)
     check = np.flatnonzero(held) if held.any() else np.arange(n)
     if c > 1:
-        logits = np.array([(cnt / cnt.sum()) @ model.table[idx] + bias for idx, cnt in (bags[i] for i in check)])
+        logits = model.of_average(np.array([(cnt / cnt.sum()) @ model.table[idx] for idx, cnt in (bags[i] for i in check)]))
         best = min(np.geomspace(1, 20, 61), key=lambda t: _nll(logits, y[check], t))
         model.temperature = float(best)
         p = model.probabilities(logits)
@@ -155,8 +166,14 @@ def _nll(logits: np.ndarray, y: np.ndarray, t: float) -> float:
     return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
 
+def has_letter(text) -> bool:
+    """The one test of what can be judged, for learning and for prediction."""
+    return text.is_valid and _LETTER.search(text.as_py()) is not None
+
+
 def _bags(batches):
     for batch in tv.batches(batches):
+        batch = batch.filter(pa.array([has_letter(t) for t in batch.column(1)], pa.bool_()))
         idx, cnt = [], []
         for text in batch.column(1):
             i, c = bag(text.as_py().encode())
@@ -165,18 +182,32 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())], ["lang", "idx", "cnt"])
 
 
+def sample(docs: DataFrame, learn: Column) -> DataFrame | None:
+    """(lang, text): of each language the same number of different rows, the smallest by a hash; None without any.
+
+    A share by hash cuts the rows first, so that the ranking sees little more than
+    what it keeps, however many rows a language has or one row is repeated.
+    """
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text").alias("h")
+    )
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()  # a row for each language
+    if not counts:
+        return None
+    each = max(SAMPLE_DOCS // len(counts), LEAST_DOCS)
+    share = [(r["lang"], min(1_000_000, int(1_500_000 * each / max(r["n"], 1)) + 1)) for r in counts]
+    shares = docs.sparkSession.createDataFrame(sorted(share), "lang string, share long")
+    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h")
+    return some.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).select("lang", "text")
+
+
 def train(docs: DataFrame, learn: Column) -> Model | None:
     """Fit on the rows where ``learn`` holds; None if none of these has a language and a letter."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    chosen = sample(docs, learn)
+    if chosen is None:
         return None
-    each = max(SAMPLE_DOCS // len(counts), 20)
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, int(1_000_000 * each / r["count"]) + 1))])
-    hashed = F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    chosen = rows.filter(F.pmod(hashed, F.lit(1_000_000)) < F.coalesce(rate[F.col("lang")], F.lit(0)))
-    chosen = chosen.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     got = chosen.mapInArrow(_bags, "lang string, idx binary, cnt binary").toArrow().sort_by([("lang", "ascending"), ("idx", "ascending")])
     if not got.num_rows:
         return None
@@ -201,9 +232,7 @@ def predict(docs: DataFrame, model: Model | None, extra: list[str]) -> DataFrame
             texts = batch.column(batch.num_columns - 1)
             data, offsets = tv.buffers(texts)
             n = batch.num_rows
-            known = np.zeros(n, bool)
-            for i, t in enumerate(texts):
-                known[i] = model is not None and t.is_valid and _LETTER.search(t.as_py()) is not None
+            known = np.array([model is not None and has_letter(t) for t in texts], bool)
             pred, score = np.full(n, -1), np.zeros(n)
             if model is not None:
                 for i, j, d, o in tv.blocks(data, offsets, 1 << 20):

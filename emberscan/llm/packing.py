@@ -9,7 +9,12 @@ fewer buckets as there are fewer pieces, and packed again, until all buckets are
 certified, only one is left, or the last round settles what it has.
 
 Only ids and lengths move between rounds; a bucket's size does not grow with the
-input, so neither does a task.
+input, so neither does a task.  ``certificate`` tells how many sequences a packing
+has, how many any packing needs at least, and so what is left uncertified.
+
+Words are cut out and looked up here only for a tokenizer file whose normaliser
+and pre-tokeniser are those this module knows (``KNOWN``); any other file encodes
+whole texts by itself.
 
 Defined results: a null or empty text is the end id alone (one piece of length
 1); repeated documents are packed once for each row; an empty table gives no
@@ -18,6 +23,7 @@ rows.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -46,6 +52,24 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # here and looked up; any other text goes through the tokenizer as a whole.
 _ODD = re.compile("[^\\t\\n\\r -~¡-±´-¸º»¿-įı-ɏ]|<\\|")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# The file's parts that this cutting stands for.
+KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed", "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None, "padding": None,
+}
 #: Words remembered by each Python worker.
 CACHE_WORDS = 400_000
 
@@ -68,6 +92,11 @@ class WordTokens(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = [t["content"] for t in file.get("added_tokens", [])]
+        # added tokens must be such as _ODD sends to the whole text
+        self.known = all(file.get(k) == v for k, v in KNOWN.items()) and all(t.startswith("<|") for t in added) and file["model"]["type"] == "BPE"
         # printable stand-ins of the 256 bytes: printable Latin-1 stands for itself,
         # the others follow from U+0100 on in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,7 +112,7 @@ class WordTokens(dict):
         return got
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.known or _ODD.search(text):
             return _as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
 
@@ -149,15 +178,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, ks: int = 24) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions.
+    """Bins that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity, ks)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int, ks: int = 24) -> int:
+    """Bins that any packing of count[n] pieces of each length n needs: the best of two families of dual feasible functions.
 
     The first rounds lengths above capacity - t up to the capacity and drops those
     below t; the second, for k, keeps lengths x with (k+1)x a multiple of the
     capacity and otherwise rounds (k+1)x/capacity down to k-ths.
     """
-    if not len(lengths):
+    count = count.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     n_upto, s_upto = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     t = np.arange(0, capacity // 2 + 1)
     big = n_upto[capacity] - n_upto[capacity - t]
@@ -224,3 +258,17 @@ def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     return pieces.join(placed, "uid").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"
     )
+
+
+def certificate(pieces: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """Sequences of a packing (length, sequence_id), the least that any needs, and the gap between.
+
+    The bound comes from the counts of all lengths, ``capacity`` numbers at most.
+    """
+    rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    used = pieces.select("sequence_id").distinct().count()
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rows:
+        count[r["length"]] = r["n"]
+    bound = bound_of_counts(count, capacity)
+    return {"sequences": used, "bound": bound, "gap": used - bound}

@@ -11,7 +11,8 @@ Defined results: a null text counts as empty, and the empty text has all
 statistics 0 and is scored like any other; without labelled rows, or with one
 class only, the score is the smoothed share of label 1; several labels of one
 document count by their mean (1 from one half on), rows with a null label or id
-not at all; documents with the same id are scored each by its own text; an empty
+not at all; documents with the same id are scored each by its own text, and of
+them one, by a hash of the text, is learned from; an empty
 table gives no rows.
 """
 
@@ -184,7 +185,7 @@ def _feature_rows(batches):
         for i, j, d, o in tv.blocks(data, offsets):
             x = features(d, o)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"]
+                [*(batch.column(k).slice(i, j - i) for k in (0, 2, 3)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "h", "x"]
             )
 
 
@@ -199,8 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> For
     """``learn``: condition on doc_id for label rows that may be seen."""
     small_batches(docs.sparkSession)
     # the broadcast side has SAMPLE_ROWS rows of an id and a label at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, column, learn)), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_feature_rows, "label int, x binary").toArrow()
+    chosen = labelled(labels, column, learn).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+    found = rows.select("doc_id", "text", "label", "h").mapInArrow(_feature_rows, "doc_id long, label int, h long, x binary")
+    # rows of one id come down to one, in the tasks first
+    got = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "h").alias("r")).select("r.label", "r.x").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack([np.frombuffer(b) for b in got["x"].to_pylist()])

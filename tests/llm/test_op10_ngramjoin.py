@@ -124,3 +124,30 @@ def test_bit_counts_bound_the_overlap():
             a, b = N.bitmap(x, bits), N.bitmap(sets[j], bits)
             both = int(np.bitwise_count(a & b).sum())
             assert most[j] == min(len(x) - int(np.bitwise_count(a).sum()) + both, len(sets[j]) - int(np.bitwise_count(b).sum()) + both)
+
+
+def test_clashing_columns(spark):
+    df = awkward(spark, ["one two three four five"]).selectExpr("*", "1 as _low", "2 as row", "3 as text_hash", "4 as component", "5 as `a.b`", "6 as stays")
+    got = N.keep_one(df, 3, 90)
+    assert got.columns == df.columns and got.count() == 6
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "some other words altogether here"), (2, "alpha beta gamma delta"), (2, "yet more of them now"), (1, "alpha beta gamma delta")]
+    got = N.keep_one(docs(spark, [(d, t, "en") for d, t in rows]), 3, 90)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted({rows[0], rows[1], rows[3]})
+
+
+def test_large_groups_of_copies_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 2000)
+    monkeypatch.setattr(N, "SMALL", 64)
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = words(rng, 120)
+        for k in range(90):  # a drift: far members link to each other only, not to the middle
+            at = rng.randrange(118)
+            base = [*base[:at], f"d{g}-{k}", *base[at + 1 :]]
+            rows.append((g * 1000 + k, " ".join(base[: 120 - k % 5]), "en"))
+    rng.shuffle(rows)
+    assert run(docs(spark, rows).repartition(4), 3, 90) == brute([(d, t) for d, t, _ in rows], 3, 90)

@@ -77,3 +77,54 @@ def test_sample_is_bounded(spark, monkeypatch):
     got = Q.labelled(labels, "quality", F.lit(True))
     assert 40 <= got.count() <= 50
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in Q.labelled(labels.repartition(7), "quality", F.lit(True)).collect())
+
+
+def test_first_split_against_every_split():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 4)), (rng.random(300) < 0.4).astype(float)
+    y[x[:, 2] > 0.3] = 1
+    forest = Q.fit(x, y)
+    p = 1 / (1 + np.exp(-forest.base))
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + Q.RIDGE)
+    best = (-1.0, 0, 0.0)
+    least = min(Q.LEAST, 300 // 20)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, Q.BINS + 1)[1:-1])):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= least:
+                best = max(best, (part(left) + part(~left) - part(np.ones(300, bool)), j, cut))
+    assert (forest.feature[0, 0], forest.threshold[0, 0]) == best[1:]
+
+
+def test_leaves_hold_newton_steps():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(400, 3)), (rng.random(400) < 0.5).astype(float)
+    forest = Q.fit(x, y)
+    one = Q.Forest(forest.base, forest.feature[:1], forest.threshold[:1], forest.value[:1])
+    p = 1 / (1 + np.exp(-forest.base))
+    z = np.log(one.score(x) / (1 - one.score(x))) - forest.base
+    for v in np.unique(np.round(z, 9)):
+        at = np.isclose(z, v, atol=1e-8)
+        # rows with this step lie in leaves of that value; with one leaf each the step is Newton's
+        assert min(abs(v - w) for w in forest.value[0]) < 1e-8
+    leaf = np.zeros(400, int)
+    for _ in range(Q.DEPTH):
+        leaf = 2 * leaf + 1 + (x[np.arange(400), forest.feature[0][leaf]] > forest.threshold[0][leaf])
+    leaf -= 2**Q.DEPTH - 1
+    for k in np.unique(leaf):
+        g, w = (p - y[leaf == k]).sum(), (leaf == k).sum() * p * (1 - p)
+        assert np.isclose(forest.value[0][k], -Q.RATE * g / (w + Q.RIDGE))
+
+
+def test_rows_of_one_id_are_learned_from_once(spark):
+    rows = [(i, f"text number {i} of a few words", "en") for i in range(50)] + [(7, f"other {k}", "en") for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    seen = []
+    old = Q.fit
+    try:
+        Q.fit = lambda x, y: seen.append(len(y)) or old(x, y)
+        Q.train(docs(spark, rows).repartition(3), labels, "quality", F.lit(True))
+    finally:
+        Q.fit = old
+    assert seen == [50]

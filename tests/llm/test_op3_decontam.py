@@ -110,3 +110,57 @@ def test_scripts_without_spaces_and_unicode_punctuation(spark):
     data, offsets = D.tv.buffers(D.pa.array(["a—b “c” l’été 你好ab 12個", "𠀀𠀁x", ""]))
     s, e = D.word_spans(data, offsets)
     assert [data[i:j].tobytes().decode() for i, j in zip(s, e)] == ["a", "b", "c", "l", "été", "你", "好", "ab", "12", "個", "𠀀", "𠀁", "x"]
+
+
+def test_two_values_of_the_item_are_not_one_of_the_document(spark):
+    item = "a box with 12 red balls next to a box with 15 red balls stands on the table"
+    both = item.replace("12", "7").replace("15", "7")
+    fair = item.replace("12", "7").replace("15", "9")
+    got = found(docs(spark, [(1, both, "en"), (2, fair, "en"), (3, item, "en")]), bench(spark, [item]))
+    assert got.get((2, 0)) == "reparameterised" and got.get((3, 0)) == "exact" and (1, 0) not in got
+
+
+def test_one_changed_number_of_a_long_copy(spark):
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(34)]
+    w = [*plain[:10], "12", *plain[10:30], "12", *plain[30:]]
+    torn = [*w[:31], "13", *w[32:]]
+    assert found(docs(spark, [(1, " ".join(torn), "en")]), bench(spark, [" ".join(w)])) == {(1, 0): "exact"}
+
+
+def brute_templates(doc, item):
+    """Item words under windows that equal the document's as templates, slots consistent both ways over one diagonal; words given as (kind, value)."""
+    code = lambda w: [v if k == "w" else k for k, v in w]
+    size = min(D.WINDOW, len(item))
+    best = 0
+    for shift in range(-len(item), len(doc)):
+        at = [i for i in range(len(item) - size + 1) if 0 <= i + shift <= len(doc) - size and code(item[i : i + size]) == code(doc[i + shift : i + shift + size])]
+        cover = {x for i in at for x in range(i, i + size)}
+        pairs = {(item[x], doc[x + shift]) for x in cover if item[x][0] != "w"}
+        if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            best = max(best, len(cover))
+    return best
+
+
+def test_brute_force_over_templates(spark):
+    rng = random.Random(13)
+    word = lambda: ("w", "".join(rng.choice("abcde") for _ in range(5)))
+    slot = lambda: rng.choice([("num", str(rng.randrange(100, 999))), ("name", "".join(["Z", *(rng.choice("xyz") for _ in range(4))]))])
+    items = [[slot() if rng.random() < 0.2 else word() for _ in range(rng.randrange(10, 30))] for _ in range(15)]
+    rows, want = [], {}
+    for i in range(120):
+        k = rng.randrange(15)
+        change = {x: ((x[0], str(rng.randrange(1000, 99999))) if x[0] == "num" else ("name", "Q" + x[1][1:] + rng.choice("xyz"))) for x in items[k] if x[0] != "w"}
+        if len(set(change.values())) < len(change):
+            continue
+        cut = items[k][: rng.randrange(5, len(items[k]) + 1)]
+        part = [change.get(x, x) for x in cut] if i % 2 else cut
+        doc = [word() for _ in range(10)] + part + [word() for _ in range(10)]
+        rows.append((i, " ".join(v for _, v in doc), "en"))
+        for n, item in enumerate(items):
+            covered = brute_templates(doc, item)
+            if covered >= D.ENOUGH or 2 * covered >= len(item):
+                want[(i, n)] = covered
+    text = [" ".join(v for _, v in x) for x in items]
+    got = {(r.doc_id, r.item_id): r.covered for r in D.contaminated(docs(spark, rows).repartition(3), bench(spark, text)).collect()}
+    assert got == want and len(want) > 40

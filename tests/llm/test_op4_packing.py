@@ -109,3 +109,29 @@ def test_exchange_rounds_reach_the_bound(spark):
 def test_end_only_documents(spark):
     got = P.packed_pieces(docs(spark, [(1, None, None), (2, "", None), (3, " \n", None)]), PATH).collect()
     assert len({r.sequence_id for r in got}) == 1 and [r.length for r in got] == [1, 1, 1]
+
+
+def test_another_tokenizer_file_takes_whole_texts(spark, tmp_path):
+    import json
+
+    import public_tokenizers as pt
+    from tokenizers import Tokenizer
+
+    odd = json.load(open(pt.path("word_bpe_49k.json")))
+    odd["normalizer"]["normalizers"] = odd["normalizer"]["normalizers"][:2]  # keeps capitals
+    other = tmp_path / "odd.json"
+    other.write_text(json.dumps(odd))
+    texts = ["Plain WORDS, it's 12 o'clock", "é ß", "", None]
+    for path in (str(other), pt.path("byte_bpe_50k.json"), pt.path("word_bpe_49k.json")):
+        whole = Tokenizer.from_file(path)
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in P.token_pieces(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), path).collect()}
+        for i, t in enumerate(texts):
+            ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+            assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert P.WordTokens(pt.path("word_bpe_49k.json")).known and not P.WordTokens(str(other)).known
+
+
+def test_certificate(spark):
+    df = spark.createDataFrame([(4, 1), (6, 1), (7, 2), (7, 3)], "length long, sequence_id long")
+    assert P.certificate(df, 10) == {"sequences": 3, "bound": 3, "gap": 0}
+    assert P.certificate(df.limit(0), 10) == {"sequences": 0, "bound": 0, "gap": 0}

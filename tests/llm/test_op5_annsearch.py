@@ -80,7 +80,7 @@ def test_repeated_ids_count_once(spark):
 
 
 def test_hot_cell_is_cut(spark, monkeypatch):
-    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 64 * 64)
     monkeypatch.setattr(A, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(5)
     x = np.ones((1500, 16)) + 0.1 * rng.normal(size=(1500, 16))
@@ -96,3 +96,47 @@ def test_distances_stay_near_the_truth():
     at = np.flatnonzero(cell == c)
     near = index.approximate(x[:50], c, codes[at])
     assert (np.abs(near - x[:50] @ x[at].T) <= error[at] + 1e-9).all()
+
+
+def test_the_method_runs_on_small_tables_too(spark, monkeypatch):
+    seen = []
+    build = A.build_index
+    monkeypatch.setattr(A, "build_index", lambda *a: seen.append(build(*a)) or seen[-1])
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 16)) + 3 * rng.normal(size=(8, 16))[rng.integers(0, 8, 200)]
+    assert recall(x, answers(table(spark, x).repartition(3))) >= 0.9
+    report = seen[0].report()
+    assert report["cells"] >= 8 and report["probed"] < report["cells"]
+
+
+def test_a_second_level_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 3000)] + 0.5 * rng.normal(size=(3000, 12))
+    index = A.Quantiser(x[:600], 400)
+    assert len(index.first) == 30 and index.n_lists >= 400
+    u = A.unit(x)
+    cell, codes, error = index.encode(u)
+    c = int(np.bincount(cell).argmax())
+    at = np.flatnonzero(cell == c)
+    assert (np.abs(index.approximate(u[:50], c, codes[at]) - u[:50] @ u[at].T) <= error[at] + 1e-9).all()
+    assert np.allclose(index.cell_scores(u[:3])[:, c], u[:3] @ index.centroid(c))
+    monkeypatch.setattr(A, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(A, "ROWS_PER_CENTROID", 10)
+    assert recall(x, answers(table(spark, x).repartition(3))) >= 0.9
+
+
+def test_queries_with_too_few_in_their_cells_look_further(spark, monkeypatch):
+    monkeypatch.setattr(A.Quantiser, "probe", lambda self, q: (np.arange(len(q)), self.cell_scores(q).argmax(axis=1)))
+    x = np.eye(30) + 0.01
+    got = answers(table(spark, x).repartition(2), 10)
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 10: 5, 20: 5}
+
+
+def test_a_vector_that_many_rows_share(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8))
+    x[200:700] = x[0]
+    got = answers(table(spark, x).repartition(4))
+    assert [i for _, i, _ in got[0]] == [200, 201, 202, 203, 204] and [i for _, i, _ in got[250]] == [0, 200, 201, 202, 203]
+    base = A.distinct_vectors(A.usable(table(spark, x), "vec_id", "embedding"), 5, np.dtype("<f4")).collect()
+    assert len(base) == 400 and max(len(r.ids) for r in base) == 6

@@ -66,3 +66,39 @@ def test_stage_keeps_columns_and_clean_rows(spark):
     assert sum(i is not None and i >= 6 for i in ids) >= 230
     gone = L.accepted_only(docs(spark, [(1, None, "en"), (2, "12", "en")]), F.lit(True))
     assert gone.count() == 0
+
+
+def test_number_signs_are_no_letters(spark):
+    model = L.train(corpus(spark, 60), F.lit(True))
+    rows = [(1, "½ ²", None), (2, "③ Ⅳ", None), (3, "٣ 12", None), (4, "ª", None), (5, "語", None), (6, "x½", None)]
+    got = {r.doc_id: r.lang_pred == "und" for r in L.predict(docs(spark, rows), model, ["doc_id"]).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
+    assert L.train(docs(spark, [(1, "½ ²", "en"), (2, "12", "de")]), F.lit(True)) is None
+
+
+def test_no_language_is_left_out(spark):
+    names = [f"l{k:03}" for k in range(130)]
+    made = {x: "".join(chr(97 + (k // 26**j) % 26) for j in range(2)) for k, x in enumerate(names)}
+    rng = random.Random(4)
+    rows = [(i * 130 + k, " ".join(made[x] * rng.randrange(1, 4) for _ in range(30)), x) for k, x in enumerate(names) for i in range(6)]
+    model = L.train(docs(spark, rows), F.lit(True))
+    assert model.languages == names and model.out is not None
+    got = L.predict(docs(spark, rows), model, ["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.3 * len(got)
+
+
+def test_a_repeated_row_does_not_fill_the_sample(spark):
+    rows = [(1, text(random.Random(1), "en"), "en")] * 3000 + [(None, text(random.Random(k), "de"), "de") for k in range(3000)]
+    got = L.sample(docs(spark, rows).repartition(3), F.lit(True)).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in got}
+    assert n["en"] == 1 and n["de"] == L.SAMPLE_DOCS // 2
+
+
+def test_embedding_and_logits_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    emb, out, bias = rng.normal(size=(L.BUCKETS, L.WIDTH)), rng.normal(size=(L.WIDTH, 40)), rng.normal(size=40)
+    data, offsets = L.tv.buffers(L.pa.array(["some words here", "und noch mehr", ""]))
+    wide, few = L.Model(range(40), emb, out, bias), L.Model(range(10), emb, out[:, :10], bias[:10])
+    assert np.allclose(wide.logits(data, offsets)[:, :10], few.logits(data, offsets), atol=1e-4)

@@ -56,3 +56,14 @@ def test_every_operator_is_registered():
     q = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op")) == list(range(1, 11)) and "pipeline" in q
     assert set(registry.oracle_sql()) <= set(q)
+
+
+def test_clashing_columns_in_every_stage(spark):
+    names = ["_low", "_gone_id", "row", "text_hash", "id", "none", "hash", "keep", "score", "h", "grp", "item_id"]
+    df = docs(spark, [(1, "the first text of all of them is here", "en"), (2, "the second one\nis another", "en"), (None, None, None)])
+    extra = df.selectExpr("*", *[f"{k} as `{n}`" for k, n in enumerate(names)])
+    for _, stage in P.STAGES[:4]:
+        got = stage(spark, extra, SF)
+        assert got.columns == extra.columns
+        assert got.collect() is not None
+    assert P.STAGES[4][1](spark, extra, SF).count() == 3
