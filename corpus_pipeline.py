@@ -8,14 +8,12 @@ other stages return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberscan.llm.common import table
+from emberscan.llm.common import delete_path, shared_folder, table
 from emberscan.llm.decontam import drop_contaminated
 from emberscan.llm.langid import accepted_only
 from emberscan.llm.linededup import dedup_lines
@@ -69,15 +67,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's result goes as soon as the next one's is written.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stages")
-    base = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, before)
         before = out
     return docs
