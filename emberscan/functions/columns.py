@@ -109,7 +109,13 @@ def grid(x: Column) -> Column:
 
 
 def site_key(lat: Column, lon: Column) -> Column:
-    return F.concat_ws("_", (grid(lat) * K.SITE_STEP).cast("string"), (grid(lon) * K.SITE_STEP).cast("string"))
+    """The rounded position as text; NULL coordinates make the key NULL."""
+    return F.concat((grid(lat) * K.SITE_STEP).cast("string"), F.lit(","), (grid(lon) * K.SITE_STEP).cast("string"))
+
+
+def site_text(lat: Column, lon: Column) -> Column:
+    """The grid position in whole steps, as text that does not hang on how an engine prints fractions."""
+    return F.concat(grid(lat).cast("long").cast("string"), F.lit(","), grid(lon).cast("long").cast("string"))
 
 
 def half_even(x: Column, digits: int = 1) -> Column:
@@ -129,6 +135,11 @@ def acquired(name: Column) -> Column:
     return F.when(days >= 1, F.timestamp_add("DAY", days - 1, stamp))
 
 
+def key_time(key: Column) -> Column:
+    """Acquisition time from a granule key, NULL if it is none."""
+    return acquired(F.concat(F.lit("VJ102MOD."), key))
+
+
 def granule_key(name: Column) -> Column:
     """Second and third dot part of a file name, NULL with fewer than three parts."""
     parts = F.split(name, r"\.")

@@ -57,11 +57,12 @@ def with_persistence(df: DataFrame) -> DataFrame:
     """days_seen and persistence beside every detection.
 
     Days per site come from a distinct aggregate (partial before the shuffle) and
-    an equi-join on the two grid integers; the number of nights is one row.
+    a left equi-join on the two grid integers, in which detections without
+    coordinates are one site; the number of nights is one row.
     """
-    site = ["site_lat_i", "site_lon_i"]
-    days = df.groupBy(*site).agg(F.countDistinct("date").alias("days_seen"))
-    joined = df.join(days, site)
+    days = df.groupBy(F.col("site_lat_i").alias("_lat"), F.col("site_lon_i").alias("_lon")).agg(F.countDistinct("date").alias("days_seen"))
+    same = F.col("site_lat_i").eqNullSafe(F.col("_lat")) & F.col("site_lon_i").eqNullSafe(F.col("_lon"))
+    joined = df.join(days, same, "left").drop("_lat", "_lon")
     return joined.join(F.broadcast(nights(df))).withColumn(  # one row
         "persistence", C.persistence(F.col("days_seen"), F.col("n_nights"))
     )
@@ -123,9 +124,44 @@ def volume_summary(df: DataFrame, n_nights: DataFrame) -> DataFrame:
     )
 
 
+#: Values that one task sorts for an exact quantile.
+SORTED_VALUES = 100_000
+
+
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The interpolated quantile of a column's values, NULLs aside; None without any.
+
+    Approximate quantiles bracket the two ranks, counts say how many values lie
+    below, and the bracket narrows until one task can sort what is in it; a value
+    that many rows share is counted, not listed.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    ranks = (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))
+    below, inside = 0, n
+    while inside > SORTED_VALUES and low < high:
+        part = values.filter(F.col("v").between(low, high))
+        near = [(r - below) / max(inside - 1, 1) for r in ranks]
+        a, b = part.agg(F.percentile_approx("v", [max(near[0] - 0.002, 0.0), min(near[1] + 0.002, 1.0)], 10_000)).first()[0]
+        c = part.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        fits = below + c[0] <= ranks[0] and ranks[1] < below + c[0] + c[1]
+        if not fits or c[1] == inside:
+            break
+        low, high, below, inside = a, b, below + c[0], c[1]
+    counts = values.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.orderBy("v")
+    upto = counts.withColumn("upto", F.sum("c").over(order) + below)
+    found = [upto.filter(F.col("upto") > r).agg(F.min("v")).first()[0] for r in ranks]
+    share = q * (n - 1) - ranks[0]
+    return found[0] + share * (found[1] - found[0])
+
+
 def heat_p98(df: DataFrame) -> DataFrame:
     """Exact interpolated 98th percentile of heat, at least 1."""
-    return df.agg(F.greatest(F.coalesce(F.percentile(RH, F.lit(0.98)), F.lit(1.0)), F.lit(1.0)).alias("p98"))
+    p98 = exact_quantile(df, RH, 0.98)
+    return df.sparkSession.range(1).select(F.lit(max(1.0, p98 if p98 is not None else 1.0)).alias("p98"))
 
 
 def extent(df: DataFrame) -> DataFrame:
@@ -139,13 +175,21 @@ def extent(df: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40, split: str | None = None, below: float | None = None) -> DataFrame:
-    """Equal-width bins over [low, high]; the last one holds ``high``."""
+def histogram(
+    df: DataFrame, column: str, low: float | None = None, high: float | None = None, bins: int = 40, split: str | None = None, below: float | None = None
+) -> DataFrame:
+    """Equal-width bins over [low, high], by default from the least to the greatest value; the last one holds ``high``.
+
+    ``below`` keeps smaller values only, before the extent is taken.  If all values are equal they are in bin 0.
+    """
     if below is not None:
         df = df.filter(F.col(column) < below)
-    width = (high - low) / bins
-    b = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).cast("int")
-    rows = df.filter(F.col(column).between(low, high))
+    ends = df.agg(
+        (F.min(column) if low is None else F.first(F.lit(float(low)))).alias("_low"), (F.max(column) if high is None else F.first(F.lit(float(high)))).alias("_high")
+    )
+    rows = df.join(F.broadcast(ends)).filter(F.col(column).between(F.col("_low"), F.col("_high")))  # one row
+    width = (F.col("_high") - F.col("_low")) / bins
+    b = F.when(width > 0, F.least(F.floor((F.col(column) - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     return rows.groupBy(b.alias("bin"), *([split] if split else [])).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -212,4 +256,4 @@ def frames(df: DataFrame) -> DataFrame:
     """Animation data: detections with heat, sized against the 98th percentile, a row per empty date."""
     lit = df.filter(F.col(RH) > 0)
     sized = lit.join(F.broadcast(heat_p98(lit))).select("date", "latitude", "longitude", C.frame_marker(F.col(RH), F.col("p98")).alias("size_px"))
-    return calendar(df).join(sized, "date", "left")
+    return calendar(df).join(sized, "date", "left").orderBy("date")

@@ -7,11 +7,13 @@ one plan; the granule is a grouping column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
+from ..functions import shared
+from ..functions.shared import checkpoint, small_side
 
 
 def region(pixels: DataFrame, box=K.CONUS) -> DataFrame:
@@ -19,58 +21,102 @@ def region(pixels: DataFrame, box=K.CONUS) -> DataFrame:
     return pixels.filter(C.night(F.col("solar_zenith")) & C.in_box(F.col("latitude"), F.col("longitude"), box))
 
 
-def zonal_stats(pixels: DataFrame, band: str = "M10", zone: Column | None = None) -> DataFrame:
-    """(granule_key, zone, mean, std, threshold, n_pixels) after upper sigma clipping.
+def _clipped(rows: DataFrame, bands) -> DataFrame:
+    """Clipping by windows over (granule, zone): one scan and one shuffle, however many granules."""
+    w = Window.partitionBy("granule_key", "zone")
+    for _ in range(K.CLIP_ROUNDS):
+        for b in bands:
+            m, s = F.avg(b).over(w), F.stddev_pop(b).over(w)
+            rows = rows.withColumn(b, F.when((s == 0) | (F.col(b) < m + K.CLIP_SIGMA * s), F.col(b)))
+    return rows.groupBy("granule_key", "zone").agg(*_moments(bands, {b: F.col(b) for b in bands}))
+
+
+def _moments(bands, values) -> list[Column]:
+    return [f(values[b]).alias(f"{n}_{b}") for b in bands for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("n", F.count))]
+
+
+def clip_stats(pixels: DataFrame, bands=("M10",), zone: Column | None = None) -> DataFrame:
+    """(granule_key, zone, mean_<band>, std_<band>, n_<band>) after upper sigma clipping.
 
     Clipping is one-sided, so what is left after k rounds are the values below
-    the least cutoff so far: the state is one number per granule and zone.  Each
-    round is a partially aggregated pass over three columns; no pixel is shuffled.
+    the least cutoff so far: the state is one row per granule and zone.  Each
+    round is a partially aggregated pass over the region's pixels for all bands at
+    once; its few rows are checkpointed, counted and broadcast to the next, so no
+    pixel is shuffled, and rounds end when no zone loses a value.  Where the
+    rows are too many to broadcast, windows do it with one shuffle instead.
     """
     zone = C.zone(F.col("col")) if zone is None else zone
-    rows = pixels.select("granule_key", zone.alias("zone"), F.col(band).alias("v")).filter("zone is not null and v > 0")
-    cut = None
-    for _ in range(K.CLIP_ROUNDS):
-        kept = rows if cut is None else rows.join(cut, ["granule_key", "zone"]).filter("cut is null or v < cut").drop("cut")
-        stats = kept.groupBy("granule_key", "zone").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-        limit = F.when(F.col("s") > 0, F.col("m") + K.CLIP_SIGMA * F.col("s"))
-        if cut is None:
-            cut = stats.select("granule_key", "zone", limit.alias("cut"))
-        else:
-            cut = stats.join(cut, ["granule_key", "zone"]).select("granule_key", "zone", F.least(limit, "cut").alias("cut"))
-    kept = rows.join(cut, ["granule_key", "zone"]).filter("cut is null or v < cut")
-    return kept.groupBy("granule_key", "zone").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("v").alias("n_pixels")
-    ).select("granule_key", "zone", "mean", "std", (F.col("mean") + K.HOT_SIGMA * F.col("std")).alias("threshold"), "n_pixels")
+    positive = [F.when(F.col(b) > 0, F.col(b)).alias(b) for b in bands]
+    rows = pixels.select("granule_key", zone.alias("zone"), *positive).filter(
+        F.col("zone").isNotNull() & F.coalesce(*[F.col(b) for b in bands]).isNotNull()
+    )
+    key = ["granule_key", "zone"]
+    stats = checkpoint(rows.groupBy(*key).agg(*_moments(bands, {b: F.col(b) for b in bands})))
+    count = stats.count()
+    if count > shared.BROADCAST_ROWS:
+        return _clipped(rows, bands)
+    for k in range(K.CLIP_ROUNDS):
+        cuts = []
+        for b in bands:
+            limit = F.when(F.col(f"std_{b}") > 0, F.col(f"mean_{b}") + K.CLIP_SIGMA * F.col(f"std_{b}"))
+            cuts += [(F.least(limit, F.col(f"cut_{b}")) if k else limit).alias(f"cut_{b}"), F.col(f"n_{b}").alias(f"was_{b}")]
+        joined = rows.join(F.broadcast(stats.select(*key, *cuts)), key)
+        kept = {b: F.when(F.col(f"cut_{b}").isNull() | (F.col(b) < F.col(f"cut_{b}")), F.col(b)) for b in bands}
+        before = [F.first(f"{n}_{b}").alias(f"{n}_{b}") for b in bands for n in ("cut", "was")]
+        stats = checkpoint(joined.groupBy(*key).agg(*_moments(bands, kept), *before))
+        if stats.filter(" or ".join(f"n_{b} < was_{b}" for b in bands)).isEmpty():
+            break
+    return stats.select(*key, *[f"{n}_{b}" for b in bands for n in ("mean", "std", "n")])
+
+
+def band_stats(stats: DataFrame, band: str) -> DataFrame:
+    """(granule_key, zone, mean, std, threshold, n_pixels) of one band of ``clip_stats``."""
+    mean, std, n = (F.col(f"{x}_{band}") for x in ("mean", "std", "n"))
+    return stats.filter(n > 0).select(
+        "granule_key", "zone", mean.alias("mean"), std.alias("std"), (mean + K.HOT_SIGMA * std).alias("threshold"), n.alias("n_pixels")
+    )
+
+
+def zonal_stats(pixels: DataFrame, band: str = "M10", zone: Column | None = None) -> DataFrame:
+    """(granule_key, zone, mean, std, threshold, n_pixels) of one band."""
+    return band_stats(clip_stats(pixels, (band,), zone), band)
 
 
 def hot_pixels(pixels: DataFrame, stats: DataFrame, band: str = "M10", zone: Column | None = None) -> DataFrame:
     """Rows of ``pixels`` above their zone's threshold, strictly."""
     zone = C.zone(F.col("col")) if zone is None else zone
-    limits = stats.select("granule_key", "zone", "threshold")
+    limits = small_side(stats.select("granule_key", "zone", "threshold"))
     return pixels.withColumn("zone", zone).join(limits, ["granule_key", "zone"]).filter(F.col(band) > F.col("threshold"))
 
 
+def row_major(found: DataFrame) -> DataFrame:
+    """By granule, scan line and sample."""
+    return found.orderBy("granule_key", "row", "col")
+
+
 def local_background(pixels: DataFrame, hot: DataFrame, half: int = K.HALF_WINDOW) -> DataFrame:
     """(granule_key, row, col, n_bg, bg_m12, sd_m12, bg_m13, detected_M12) of every hot pixel.
 
-    The square window is an equi-join: each hot pixel is spread over the offsets
+    The square window is an equi-join: each hot pixel, materialised once, is spread over the offsets
     of its window and meets the pixels by position; hot pixels are no background.
     """
-    spots = hot.select("granule_key", "row", "col").distinct()
+    key = ["granule_key", "row", "col"]
+    own = checkpoint(hot.select(*key, F.col("M12").alias("own")))
+    n = own.count()
+    spots = own.select(*key).distinct()
     offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
     cells = spots.select("granule_key", "row", "col", offsets.alias("dr")).select(
         "granule_key", "row", "col", "dr", offsets.alias("dc")
     ).select("granule_key", F.col("row").alias("hot_row"), F.col("col").alias("hot_col"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    around = pixels.select("granule_key", "row", "col", "M12", "M13").filter("M12 is not null and M13 is not null")
-    around = around.join(spots, ["granule_key", "row", "col"], "left_anti")
-    stats = cells.join(around, ["granule_key", "row", "col"]).groupBy("granule_key", "hot_row", "hot_col").agg(
+    around = pixels.select(*key, "M12", "M13").filter("M12 is not null and M13 is not null")
+    around = around.join(small_side(cells, n * (2 * half + 1) ** 2), key).join(small_side(spots, n), key, "left_anti")
+    stats = around.groupBy("granule_key", "hot_row", "hot_col").agg(
         F.count(F.lit(1)).alias("n_bg"), F.avg("M12").alias("m12"), F.stddev_pop("M12").alias("s12"), F.avg("M13").alias("m13")
     ).filter(F.col("n_bg") >= K.LEAST_BACKGROUND)
-    own = hot.select("granule_key", "row", "col", F.col("M12").alias("own"))
     return own.join(
-        stats.withColumnsRenamed({"hot_row": "row", "hot_col": "col"}), ["granule_key", "row", "col"], "left"
+        stats.withColumnsRenamed({"hot_row": "row", "hot_col": "col"}), key, "left"
     ).select(
-        "granule_key", "row", "col", F.coalesce("n_bg", F.lit(0)).alias("n_bg"), F.col("m12").alias("bg_m12"),
+        *key, F.coalesce("n_bg", F.lit(0)).alias("n_bg"), F.col("m12").alias("bg_m12"),
         F.col("s12").alias("sd_m12"), F.col("m13").alias("bg_m13"),
         F.coalesce(F.col("own") > F.col("m12") + K.LOCAL_SIGMA * F.col("s12"), F.lit(False)).alias("detected_M12"),
     )

@@ -63,50 +63,98 @@ def fit_arrays(w: np.ndarray, obs: np.ndarray, ok: np.ndarray) -> tuple[np.ndarr
     return t, esf, cost
 
 
+#: What a fit can come to; the place in the list is its code.
+ERRORS = (None, "fewer than two usable bands", "start outside the bounds")
+
+
+def fit_matrix(obs: np.ndarray) -> dict[str, np.ndarray]:
+    """Fits of a (rows, ``K.BANDS``) matrix of radiances; what is not positive and finite is no band.
+
+    Returns temperature, esf, cost, code (of ``ERRORS``) and the residuals model - observed.
+    """
+    ok = np.isfinite(obs) & (obs > 0)
+    clean = np.where(ok, obs, 1.0)
+    w = np.broadcast_to(np.array([K.WAVELENGTHS[b] for b in K.BANDS]), obs.shape)
+    t, esf, cost = fit_arrays(w, clean, ok)
+    brightest = np.where(ok, obs, -np.inf).argmax(axis=1)
+    rows = np.arange(len(obs))
+    start = clean[rows, brightest] / planck(w[rows, brightest], np.full(len(obs), K.FIT_START_T))
+    code = np.where(ok.sum(axis=1) < 2, 1, np.where(start > K.FIT_ESF[1], 2, 0))
+    with np.errstate(invalid="ignore"):
+        residual = np.where(ok, esf[:, None] * planck(w, t[:, None]) - obs, np.nan)
+    return {"t": t, "esf": esf, "cost": cost, "code": code, "residual": residual}
+
+
 def _fit_rows(rows: list) -> list[dict]:
-    rows = [sorted((dict(x) for x in (r if r is not None else []) if x["obs"] is not None and x["obs"] > 0 and np.isfinite(x["obs"])), key=lambda x: x["band"]) for r in rows]
-    width = max([len(r) for r in rows] + [1])
-    w, obs, ok = np.ones((len(rows), width)), np.ones((len(rows), width)), np.zeros((len(rows), width), bool)
-    for i, r in enumerate(rows):
-        for j, x in enumerate(r):
-            w[i, j], obs[i, j], ok[i, j] = x["w"], x["obs"], True
-    t, esf, cost = fit_arrays(w, obs, ok)
-    out = []
+    """Fits of lists of (band, obs), as rows of the result."""
+    obs = np.full((len(rows), len(K.BANDS)), np.nan)
     for i, r in enumerate(rows):
-        fail = {"success": False, "bands_used": [x["band"] for x in r], "error": None}
-        if len(r) < 2:
-            out.append(fail | {"error": "fewer than two usable bands"})
+        for x in r or []:
+            if x["obs"] is not None:
+                obs[i, K.BANDS.index(x["band"])] = x["obs"]
+    got, out = fit_matrix(obs), []
+    for i in range(len(rows)):
+        used = [j for j in range(len(K.BANDS)) if np.isfinite(obs[i, j]) and obs[i, j] > 0]
+        names = [K.BANDS[j] for j in used]
+        if got["code"][i]:
+            out.append({"success": False, "bands_used": names, "error": ERRORS[got["code"][i]]})
             continue
-        top = max(r, key=lambda x: x["obs"])
-        if top["obs"] / planck(np.array(top["w"]), np.array(K.FIT_START_T)) > K.FIT_ESF[1]:
-            out.append(fail | {"error": "start outside the bounds"})
-            continue
-        heat = K.STEFAN_BOLTZMANN * t[i] ** 4
-        area = esf[i] * K.PIXEL_AREA_M2
-        model = esf[i] * planck(w[i], t[i])
+        heat = K.STEFAN_BOLTZMANN * got["t"][i] ** 4
+        area = got["esf"][i] * K.PIXEL_AREA_M2
         out.append(
             {
-                "temperature_K": t[i], "esf": esf[i], "source_area_m2": area, "radiant_heat_MW": area * heat / 1e6,
-                "radiant_heat_intensity_W_m2": heat, "cost": cost[i],
-                "residuals": {x["band"]: float((model[j] - x["obs"]) / (x["obs"] + TINY)) for j, x in enumerate(r)},
-                "bands_used": [x["band"] for x in r], "success": True, "error": None,
+                "temperature_K": got["t"][i], "esf": got["esf"][i], "source_area_m2": area, "radiant_heat_MW": area * heat / 1e6,
+                "radiant_heat_intensity_W_m2": heat, "cost": got["cost"][i],
+                "residuals": {n: float(got["residual"][i, j]) for n, j in zip(names, used)}, "bands_used": names, "success": True, "error": None,
             }
         )
     return out
 
 
-_FIELDS = ("temperature_K", "esf", "source_area_m2", "radiant_heat_MW", "radiant_heat_intensity_W_m2", "cost", "residuals", "bands_used", "success", "error")
+def planck_fit(bands: Column) -> Column:
+    """array<struct<band, w, obs>> -> fit struct; ``success`` false with an error if it cannot be done.
 
+    Python gets one column of radiances for each band and gives numbers back; names,
+    maps and what follows from temperature and scaling factor are put together in the JVM.
+    """
+    numbers = ", ".join(f"r_{b}:double" for b in K.BANDS)
+
+    @F.pandas_udf(f"struct<t:double,esf:double,cost:double,code:int,{numbers}>")
+    def run(*series: pd.Series) -> pd.DataFrame:
+        got = fit_matrix(np.column_stack([s.to_numpy(np.float64, na_value=np.nan) for s in series]))
+        out = {k: got[k] for k in ("t", "esf", "cost")} | {"code": got["code"].astype(np.int32)}
+        return pd.DataFrame(out | {f"r_{b}": got["residual"][:, j] for j, b in enumerate(K.BANDS)})
+
+    def obs(b: str) -> Column:
+        return F.get(F.filter(bands, lambda x: x["band"] == b), F.lit(0))["obs"].cast("double")
+
+    def whole(f: Column) -> Column:
+        ok = f["code"] == 0
+        heat, area = C.exitance(f["t"]), C.source_area(f["esf"])
+        left = F.filter(
+            F.array(*[F.struct(F.lit(b).alias("band"), f[f"r_{b}"].alias("r"), obs(b).alias("o")) for b in K.BANDS]),
+            lambda x: (x["o"] > 0) & (x["o"] < float("inf")),
+        )
+        when = lambda c: F.when(ok, c)
+        return F.struct(
+            when(f["t"]).alias("temperature_K"), when(f["esf"]).alias("esf"), when(area).alias("source_area_m2"),
+            when(area * heat / 1e6).alias("radiant_heat_MW"), when(heat).alias("radiant_heat_intensity_W_m2"), when(f["cost"]).alias("cost"),
+            when(F.map_from_entries(F.transform(left, lambda x: F.struct(x["band"], x["r"])))).alias("residuals"),
+            F.transform(left, lambda x: x["band"]).alias("bands_used"), ok.alias("success"),
+            F.when(f["code"] == 1, ERRORS[1]).when(f["code"] == 2, ERRORS[2]).alias("error"),
+        )
 
-def planck_fit(bands: Column) -> Column:
-    """array<struct<band, w, obs>> -> fit struct; ``success`` false with an error if it cannot be done."""
+    return F.transform(F.array(run(*[obs(b) for b in K.BANDS])), whole)[0]
 
-    @F.pandas_udf(FIT_TYPE)
-    def run(s: pd.Series) -> pd.DataFrame:
-        got = _fit_rows(list(s))
-        return pd.DataFrame({f: pd.Series([g.get(f) for g in got], dtype=object) for f in _FIELDS})
 
-    return run(bands)
+def can_fit(obs: dict[str, Column]) -> Column:
+    """Two bands at least, and a start within the bounds."""
+    ok = {b: F.coalesce((o > 0) & (o < float("inf")), F.lit(False)) for b, o in obs.items()}
+    n = None
+    for v in ok.values():
+        n = v.cast("int") if n is None else n + v.cast("int")
+    start = F.array(*[F.struct(F.when(ok[b], o).alias("o"), (o / F.lit(float(planck(np.array(K.WAVELENGTHS[b]), np.array(K.FIT_START_T))))).alias("s")) for b, o in obs.items()])
+    return (n >= 2) & (F.array_max(F.filter(start, lambda x: x["o"].isNotNull()))["s"] <= K.FIT_ESF[1])
 
 
 def grid_fit(bands: dict[str, Column], step: int = 20) -> Column:
@@ -130,14 +178,15 @@ def grid_fit(bands: dict[str, Column], step: int = 20) -> Column:
         return out
 
     def at(x: Column) -> Column:
-        r = {b: x[b] / (o + TINY) for b, o in bands.items()}
-        r0 = {b: o / (o + TINY) for b, o in bands.items()}
+        # a band that is missing adds nothing
+        r = {b: F.coalesce(x[b] / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
+        r0 = {b: F.coalesce(o / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
         esf = total([r0[b] * r[b] for b in bands]) / total([r[b] * r[b] for b in bands])
         esf = F.least(F.greatest(esf, F.lit(K.FIT_ESF[0])), F.lit(K.FIT_ESF[1]))
         return F.struct(x["t"].alias("t"), esf.alias("esf"), *[r[b].alias(b) for b in bands])
 
     def cost(x: Column) -> Column:
-        res = {b: x["esf"] * x[b] - o / (o + TINY) for b, o in bands.items()}
+        res = {b: x["esf"] * x[b] - F.coalesce(o / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
         return F.struct((total([v * v for v in res.values()]) * 0.5).alias("cost"), x["t"].alias("t"), x["esf"].alias("esf"))
 
     return F.array_min(F.transform(F.transform(table, at), cost))

@@ -97,7 +97,7 @@ def _grid_fit() -> str:
     top = " + ".join(f"o_{b} * r_{b}" for b in SOURCE_BANDS)
     square = " + ".join(f"r_{b} * r_{b}" for b in SOURCE_BANDS)
     cost = " + ".join(f"power(esf * r_{b} - o_{b}, 2e0)" for b in SOURCE_BANDS)
-    return f"""WITH src AS (SELECT event_id, {obs} FROM events WHERE event_id % 20 = 0),
+    return f"""WITH src AS (SELECT event_id, {obs} FROM events),
 g AS (SELECT CAST(unnest(generate_series(400, 4000, 20)) AS DOUBLE) AS t),
 m AS (SELECT event_id, t, {rs} FROM src, g),
 e AS (SELECT *, least(greatest(({top}) / ({square}), 1e-15::DOUBLE), 1e0) AS esf FROM m),
@@ -106,6 +106,31 @@ b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY cost, t) AS k
 SELECT event_id, CAST(t AS INT) AS temperature_K, round(log10(esf), 6) AS log_esf FROM b WHERE k = 1"""
 
 
+def _grid_detections(stats: str, hot: str) -> str:
+    """Hot pixels of the region, their background, and the best of a grid of temperatures."""
+    back = BACK.replace("FROM px WHERE M12", "FROM roi WHERE M12").replace("px.", "roi.")
+    confirm = _stats("roi", "M11", "y")
+    bands = ("M07", "M08", "M10", "M11", "M12", "M13")
+    obs = [f"CASE WHEN {b} > 0 THEN {b} END AS o_{b}" for b in bands[:4]]
+    obs += [f"CASE WHEN {b} > 0 AND bg_m12 IS NOT NULL AND {b} - bg_{b.lower()} > 0 THEN {b} - bg_{b.lower()} END AS o_{b}" for b in bands[4:]]
+    r = {b: f"coalesce({_planck(K.WAVELENGTHS[b], 't')} / (o_{b} + 1e-20::DOUBLE), 0e0)" for b in bands}
+    o = {b: f"coalesce(o_{b} / (o_{b} + 1e-20::DOUBLE), 0e0)" for b in bands}
+    n = " + ".join(f"CASE WHEN o_{b} IS NULL THEN 0 ELSE 1 END" for b in bands)
+    top = "greatest(" + ", ".join(f"o_{b}" for b in bands) + ")"
+    start = "CASE " + " ".join(f"WHEN o_{b} = {top} THEN o_{b} / {_planck(K.WAVELENGTHS[b], '1800e0')}" for b in reversed(bands)) + " END"
+    return f"""WITH {PIX}, {ROI}, {stats}, {hot}, {confirm}, {back},
+f AS (SELECT h.granule_key, h."row", h.col, latitude, longitude, coalesce(M11 > y.threshold, false) AS detected_M11, b.detected_M12, {', '.join(obs)}
+  FROM hot h JOIN back b ON b.granule_key = h.granule_key AND b."row" = h."row" AND b.col = h.col LEFT JOIN y ON y.granule_key = h.granule_key AND y.zone = h.zone),
+u AS (SELECT *, {n} AS n, {start} AS start FROM f),
+g AS (SELECT CAST(unnest(generate_series(400, 4000, 20)) AS DOUBLE) AS t),
+m AS (SELECT granule_key, "row", col, t, {', '.join(f'{r[b]} AS r_{b}, {o[b]} AS q_{b}' for b in bands)} FROM u, g WHERE n >= 2 AND start <= 1),
+e AS (SELECT *, least(greatest(({' + '.join(f'q_{b} * r_{b}' for b in bands)}) / ({' + '.join(f'r_{b} * r_{b}' for b in bands)}), 1e-15::DOUBLE), 1e0) AS esf FROM m),
+c AS (SELECT granule_key, "row", col, t, esf, row_number() OVER (PARTITION BY granule_key, "row", col ORDER BY {' + '.join(f'power(esf * r_{b} - q_{b}, 2e0)' for b in bands)}, t) AS k FROM e)
+SELECT u.granule_key, u."row", u.col, {_basin('latitude', 'longitude')} AS basin, CAST(t AS INT) AS temperature_K, round(log10(esf), 6) AS log_esf,
+  {_class('t')} AS classification, detected_M11, detected_M12, CASE WHEN t IS NULL THEN 0 ELSE n END AS n_bands_used
+FROM u LEFT JOIN c ON c.k = 1 AND c.granule_key = u.granule_key AND c."row" = u."row" AND c.col = u.col"""
+
+
 NAMES = """nm AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'odd' || event_id
     ELSE 'VJ10' || (2 + event_id % 2) || 'MOD.A2024' || lpad(CAST(1 + (event_id // 2) % 366 AS VARCHAR), 3, '0') || '.' || lpad(CAST((event_id // 2) % 24 AS VARCHAR), 2, '0')
       || lpad(CAST(((event_id // 2) % 10) * 6 AS VARCHAR), 2, '0') || '.021.nc' END AS name FROM events),
@@ -164,30 +189,45 @@ SELECT round({K.BCM_PER_MW}e0 * rh, 4) AS total_bcm, round({VOL} * rh / greatest
   CASE WHEN greatest(b - a, e - d) < 3 THEN 7 WHEN greatest(b - a, e - d) < 8 THEN 6 WHEN greatest(b - a, e - d) < 15 THEN 5 ELSE 3 END AS zoom,
   round(greatest((b - a) * 0.08e0, 0.5e0), 6) AS pad_lat, round(greatest((e - d) * 0.08e0, 0.5e0), 6) AS pad_lon FROM x"""
 
-    def hist(col: str, low: float, high: float, split: str = "", below: float | None = None) -> str:
-        cond = f" AND {col} < {below}" if below is not None else ""
-        width = (high - low) / 40
-        return f"WITH {DET} SELECT CAST(least(floor(({col} - {low!r}::DOUBLE) / {width!r}::DOUBLE), 39) AS INT) AS bin{split}, count(*) AS n FROM det WHERE {col} BETWEEN {low} AND {high}{cond} GROUP BY ALL"
+    def hist(col: str, split: str = "", below: float | None = None) -> str:
+        cond = f"{col} < {below}" if below is not None else f"{col} IS NOT NULL"
+        return f"""WITH {DET}, v AS (SELECT {col} AS x{split} FROM det WHERE {cond}), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
+SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 40)), 39) ELSE 0 END AS INT) AS bin{split}, count(*) AS n FROM v, e GROUP BY ALL"""
 
-    q["hist_temp"] = hist("temperature_K", 450.0, 2400.0, ", classification")
-    q["hist_rh"] = hist("radiant_heat_MW", 0.0, 5.0, ", basin", 5)
-    q["hist_area"] = hist("source_area_m2", 0.0, 10.0, "", 10)
+    q["hist_temp"] = hist("temperature_K", ", classification")
+    q["hist_rh"] = hist("radiant_heat_MW", ", basin", 5)
+    q["hist_area"] = hist("source_area_m2", "", 10)
     q["options"] = f"WITH {DET} SELECT DISTINCT basin FROM det"
     q["distinct_granules"] = f"WITH {DET} SELECT count(DISTINCT granule) AS n_granules FROM det"
     q["flare_ranges"] = f"WITH {DET} SELECT count(*) AS n_flares, min(temperature_K) AS t_min, max(temperature_K) AS t_max, min(radiant_heat_MW) AS rh_min, max(radiant_heat_MW) AS rh_max FROM det WHERE classification = 'gas_flare'"
     q["top_flares"] = f"""WITH {DET}, r AS (SELECT *, row_number() OVER (ORDER BY radiant_heat_MW DESC NULLS LAST, datetime_utc, granule, "row", col) AS rank FROM det)
 SELECT CAST(rank AS INT) AS rank, datetime_utc, latitude, longitude, basin, classification, temperature_K, radiant_heat_MW, round(source_area_m2, 4) AS source_area_m2, granule, "row", col FROM r WHERE rank <= 25"""
-    q["calendar_spine"] = f"""WITH {DET}, s AS (SELECT * FROM det WHERE day(date) % 3 <> 0), k AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s)
+    q["calendar_spine"] = f"""WITH {DET}, s AS (SELECT * FROM det), k AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s)
 SELECT CAST(s.date AS VARCHAR) AS date, false AS placeholder, count(*) AS n, round(coalesce(sum(radiant_heat_MW), 0), 4) AS sum_rh FROM s GROUP BY s.date
 UNION ALL SELECT CAST(date AS VARCHAR), true, 1, 0e0 FROM k WHERE date NOT IN (SELECT date FROM s)"""
     q["map_points"] = f"WITH {DET} SELECT latitude, longitude, temperature_K IS NOT NULL AS fitted, temperature_K, round(CASE WHEN temperature_K IS NOT NULL THEN least(greatest(radiant_heat_MW, 0.1e0), 50e0) * 10 END, 6) AS size_px FROM det"
     q["map_extent"] = f"WITH {DET} SELECT min(latitude) - 0.5e0 AS south, max(latitude) + 0.5e0 AS north, min(longitude) - 0.5e0 AS west, max(longitude) + 0.5e0 AS east FROM det"
-    q["map_frames"] = f"""WITH {DET}, s AS (SELECT * FROM det WHERE day(date) % 3 <> 0), k AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s),
+    q["map_frames"] = f"""WITH {DET}, s AS (SELECT * FROM det), k AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s),
 p AS (SELECT greatest(quantile_cont(radiant_heat_MW, 0.98), 1e0) AS p98 FROM s WHERE radiant_heat_MW > 0),
 z AS (SELECT date, latitude, longitude, least(greatest(radiant_heat_MW / p98, 0.02e0), 1e0) * 80 AS size_px FROM s, p WHERE radiant_heat_MW > 0)
 SELECT CAST(k.date AS VARCHAR) AS date, latitude, longitude, round(size_px, 6) AS size_px FROM k LEFT JOIN z ON z.date = k.date"""
-    q["kml_rows"] = f"""WITH {DET} SELECT printf('%.0fK, %.2fMW', round_even(temperature_K, 0), round_even(radiant_heat_MW * 100e0, 0) / 100e0) AS name,
-  CASE classification WHEN 'gas_flare' THEN 'ff0000ff' WHEN 'industrial_or_large_fire' THEN 'ff007fff' ELSE 'ff00ffff' END AS colour, longitude, latitude
-FROM det WHERE temperature_K IS NOT NULL AND col % 8 = 1"""
+    # written out from the map format, not from the code's tables: red, orange and yellow as aabbggrr
+    q["kml_rows"] = f"""WITH {DET}, r AS (SELECT *, printf('%.0f', round_even(temperature_K, 0)) AS t,
+  printf('%.2f', round_even(radiant_heat_MW * 100e0, 0) / 100e0) AS h, printf('%.1f', round_even(source_area_m2 * 10e0, 0) / 10e0) AS a FROM det WHERE temperature_K IS NOT NULL)
+SELECT t || 'K, ' || h || 'MW' AS name,
+  'Temperature: ' || t || ' K' || chr(10) || 'Radiant Heat: ' || h || ' MW' || chr(10) || 'Source Area: ' || a || ' m²' || chr(10) || 'Classification: ' || classification || chr(10) AS description,
+  CASE classification WHEN 'gas_flare' THEN 'ff0000ff' WHEN 'biomass_burning' THEN 'ff00a5ff' ELSE 'ff00ffff' END AS colour, longitude, latitude FROM r"""
+    roi_z = _stats("roi", "M10", "z")
+    roi_hot = HOT.replace("SELECT px.*", "SELECT roi.*").replace("FROM px JOIN", "FROM roi JOIN").replace("px.", "roi.")
+    q["granule_counts"] = f"""{with_px}, {ROI}, {roi_z}, {roi_hot}
+SELECT p.granule_key, p.n_pixels, coalesce(r.n, 0) AS n_region, coalesce(h.n, 0) AS n_hot FROM (SELECT granule_key, count(*) AS n_pixels FROM px GROUP BY 1) p
+  LEFT JOIN (SELECT granule_key, count(*) AS n FROM roi GROUP BY 1) r USING (granule_key) LEFT JOIN (SELECT granule_key, count(*) AS n FROM hot GROUP BY 1) h USING (granule_key)"""
+    q["detections_grid"] = _grid_detections(roi_z, roi_hot)
+    q["calibrated_scan"] = """WITH p AS (SELECT event_id AS e, event_id // 1600 AS granule_key, CAST((event_id % 1600) // 40 AS INT) AS "row", CAST(event_id % 40 AS INT) AS col FROM events),
+r AS (SELECT *, CASE WHEN e % 50 = 0 THEN 65535 WHEN e % 51 = 0 THEN 65530 ELSE (e * 131) % 65528 END AS a, CASE WHEN e % 49 = 0 THEN 60000 ELSE (e * 37) % 65000 END AS b FROM p),
+v AS (SELECT *, a * ((granule_key % 7 + 1) * 0.01e0) + (-20e0 - granule_key % 3) AS x, b * ((granule_key % 5 + 1) * 0.002e0) - 1e0 AS y FROM r)
+SELECT granule_key, "row", col, round(CASE WHEN a < 65528 AND a <> 65535 AND x > 0 THEN x END, 6) AS M10, round(CASE WHEN b < 64001 AND b <> 60000 AND y > 0 THEN y END, 6) AS M11 FROM v"""
+    q["site_keys"] = f"""WITH {DET} SELECT granule, "row", col, CAST(hour(datetime_utc) AS INT) AS hour_utc,
+  CAST(CAST(round_even(latitude / 0.0075e0, 0) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round_even(longitude / 0.0075e0, 0) AS BIGINT) AS VARCHAR) AS site FROM det"""
     q["append_align"] = f'WITH {DET} SELECT granule, "row", col, temperature_K, NULL::VARCHAR AS detected_M12 FROM det WHERE col % 2 = 0 UNION ALL SELECT granule, "row", col, NULL, CAST(radiant_heat_MW > 5 AS VARCHAR) FROM det WHERE col % 2 = 1'
     return q

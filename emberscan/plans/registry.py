@@ -34,7 +34,7 @@ def zonal_stats(s, d):
 
 
 def hot_pixels(s, d):
-    return _hot(s, d)[1].select("granule_key", "row", "col", "zone", "M10")
+    return D.row_major(_hot(s, d)[1].select("granule_key", "row", "col", "zone", "M10"))
 
 
 def local_background(s, d):
@@ -85,17 +85,8 @@ def _sources(s, d):
     )
 
 
-def planck_fit_grid_all(s, d):
-    return _grid_fit(_sources(s, d))
-
-
 def planck_fit_grid(s, d):
-    """Only the sources that its SQL has."""
-    return _grid_fit(_sources(s, d).filter("event_id % 20 = 0"))
-
-
-def _grid_fit(sources):
-    best = sources.select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
+    best = _sources(s, d).select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
     return best.select("event_id", F.col("g.t").cast("int").alias("temperature_K"), F.round(F.log10("g.esf"), 6).alias("log_esf"))
 
 
@@ -108,10 +99,41 @@ def detections(s, d):
     return detection.detections(views.pixels(s, d), K.CONUS, _zone(), F.col("ts").cast("timestamp"))
 
 
+def detections_grid(s, d):
+    return _round(detection.grid_detections(views.pixels(s, d), K.CONUS, _zone()), log_esf=6)
+
+
 def region_counts(s, d):
     return detection.roi_counts(views.pixels(s, d))
 
 
+def granule_counts(s, d):
+    return detection.granule_counts(views.pixels(s, d), K.CONUS, _zone())
+
+
+def calibrated_scan(s, d):
+    """Radiances of two bands from counts, each with its granule's and band's own calibration."""
+    e = F.col("event_id")
+    raw = views.pixels(s, d).withColumn("event_id", F.col("granule_key") * 1600 + F.col("row") * 40 + F.col("col")).select(
+        "granule_key", "row", "col",
+        F.when(e % 50 == 0, 65535).when(e % 51 == 0, 65530).otherwise((e * 131) % 65528).cast("int").alias("raw_M10"),
+        F.when(e % 49 == 0, 60000).otherwise((e * 37) % 65000).cast("int").alias("raw_M11"),
+    )
+    keys = raw.select("granule_key").distinct()
+    g = F.col("granule_key")
+    cal = keys.select(
+        "granule_key", F.lit("M10").alias("band"), ((g % 7 + 1) * 0.01).alias("scale"), (-20.0 - g % 3).alias("offset"), F.lit(None).cast("int").alias("fill"), F.lit(None).cast("int").alias("valid_max")
+    ).unionByName(
+        keys.select("granule_key", F.lit("M11").alias("band"), ((g % 5 + 1) * 0.002).alias("scale"), F.lit(-1.0).alias("offset"), F.lit(60000).alias("fill"), F.lit(64000).alias("valid_max"))
+    )
+    return _round(granules.calibrated(raw, cal), M10=6, M11=6)
+
+
+def site_keys(s, d):
+    """Sites as text, with the hour of each detection."""
+    return views.detections(s, d).select(*KEY, "hour_utc", C.site_text(F.col("latitude"), F.col("longitude")).alias("site"))
+
+
 def _files(s, d):
     e = F.col("event_id")
     half = F.expr("event_id div 2")
@@ -129,7 +151,7 @@ def parse_filename(s, d):
 
 def granule_pairs(s, d):
     files = _files(s, d).withColumn("product", F.substring_index(C.base_name(F.col("path")), ".", 1))
-    return granules.pair_granules(files.filter(F.col("product") == granules.RADIANCE), files.filter(F.col("product") == granules.GEOLOCATION))
+    return granules.ordered_pairs(granules.pair_granules(files.filter(F.col("product") == granules.RADIANCE), files.filter(F.col("product") == granules.GEOLOCATION)))
 
 
 def pending_pairs(s, d):
@@ -181,13 +203,8 @@ def top_flares(s, d):
     return _round(A.top_by_heat(views.detections(s, d), 25), source_area_m2=4)
 
 
-def _gappy(s, d):
-    """Only the days that the SQL of ``calendar_spine`` and ``map_frames`` has."""
-    return views.detections(s, d).filter(F.dayofmonth("date") % 3 != 0)
-
-
-def _spine(det):
-    rows = A.filled_calendar(det)
+def calendar_spine(s, d):
+    rows = A.filled_calendar(views.detections(s, d))
     return rows.groupBy("date", "placeholder").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("radiant_heat_MW"), F.lit(0.0)), 4).alias("sum_rh")
     )
@@ -205,13 +222,7 @@ def _dated(query):
     return lambda s, d: query(s, d).withColumn("date", F.col("date").cast("string"))
 
 
-def _kml(det):
-    return tables.kml_rows(det).select("name", "colour", "longitude", "latitude")
-
-
-DATED = (
-    "filters", "daily", "daily_ts", "volume_daily", "volume_basin", "volume_class", "calendar_spine", "calendar_spine_all", "map_frames", "map_frames_all",
-)
+DATED = ("filters", "daily", "daily_ts", "volume_daily", "volume_basin", "volume_class", "calendar_spine", "map_frames")
 
 
 def queries() -> dict:
@@ -236,9 +247,12 @@ def _queries() -> dict:
         ),
         "site_grid": lambda s, d: det(s, d).select(*KEY, "site_lat_i", "site_lon_i"),
         "planck_fit_grid": planck_fit_grid,
-        "planck_fit_grid_all": planck_fit_grid_all,
         "planck_fit": planck_fit,
         "detections": detections,
+        "detections_grid": detections_grid,
+        "granule_counts": granule_counts,
+        "calibrated_scan": calibrated_scan,
+        "site_keys": site_keys,
         "parse_filename": parse_filename,
         "granule_pairs": granule_pairs,
         "pending_pairs": pending_pairs,
@@ -257,21 +271,18 @@ def _queries() -> dict:
         "volume_summary": volume_summary,
         "rh_p98": lambda s, d: _round(A.heat_p98(det(s, d)), p98=6),
         "extent_view": lambda s, d: _round(A.extent(det(s, d)), mean_latitude=6, mean_longitude=6, pad_lat=6, pad_lon=6),
-        "hist_temp": lambda s, d: A.histogram(det(s, d), "temperature_K", 450.0, 2400.0, split="classification"),
-        "hist_rh": lambda s, d: A.histogram(det(s, d), "radiant_heat_MW", 0.0, 5.0, split="basin", below=5),
-        "hist_area": lambda s, d: A.histogram(det(s, d), "source_area_m2", 0.0, 10.0, below=10),
+        "hist_temp": lambda s, d: A.histogram(det(s, d), "temperature_K", split="classification"),
+        "hist_rh": lambda s, d: A.histogram(det(s, d), "radiant_heat_MW", split="basin", below=5),
+        "hist_area": lambda s, d: A.histogram(det(s, d), "source_area_m2", below=10),
         "options": lambda s, d: A.options(det(s, d), "basin"),
         "distinct_granules": lambda s, d: A.distinct_granules(det(s, d)),
         "flare_ranges": lambda s, d: A.flare_ranges(det(s, d)),
         "top_flares": top_flares,
-        "calendar_spine": lambda s, d: _spine(_gappy(s, d)),
-        "calendar_spine_all": lambda s, d: _spine(det(s, d)),
+        "calendar_spine": calendar_spine,
         "map_points": lambda s, d: _round(A.map_points(det(s, d)), size_px=6),
         "map_extent": lambda s, d: A.map_extent(det(s, d)),
-        "map_frames": lambda s, d: _round(A.frames(_gappy(s, d)), size_px=6),
-        "map_frames_all": lambda s, d: _round(A.frames(det(s, d)), size_px=6),
-        "kml_rows": lambda s, d: _kml(det(s, d).filter("col % 8 = 1")),  # the columns that its SQL has
-        "kml_rows_all": lambda s, d: _kml(det(s, d)),
+        "map_frames": lambda s, d: _round(A.frames(det(s, d)), size_px=6),
+        "kml_rows": lambda s, d: tables.kml_rows(det(s, d)),
         "append_align": append_align,
     }
 

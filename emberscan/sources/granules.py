@@ -35,23 +35,33 @@ def pair_granules(radiance: DataFrame, geolocation: DataFrame, unique_left: bool
     return left.join(right.groupBy("granule_key").agg(F.max("p").alias("geo_path")), "granule_key")
 
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs by the path of their radiance file."""
+    return pairs.orderBy("rad_path")
+
+
 def pending(pairs: DataFrame, processed: DataFrame) -> DataFrame:
     return pairs.join(processed.select("granule_key"), "granule_key", "left_anti")
 
 
-def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """(granule_key) of a processed log; empty if there is none."""
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(granule_key, batch) of a processed log; empty if there is none."""
     try:
-        return spark.read.schema("granule_key string").json(path).distinct()
+        return spark.read.schema("granule_key string, batch string").json(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "granule_key string")
+        return spark.createDataFrame([], "granule_key string, batch string")
+
+
+def read_processed(spark: SparkSession, path: str) -> DataFrame:
+    """(granule_key) of a processed log; empty if there is none."""
+    return read_log(spark, path).select("granule_key").distinct()
 
 
-def log_processed(keys: DataFrame, path: str) -> None:
+def log_processed(keys: DataFrame, path: str, batch: str = "") -> None:
     """Append keys; reading takes them as a set, so logging twice changes nothing."""
-    keys.select("granule_key").distinct().write.mode("append").json(path)
+    keys.select("granule_key", F.lit(batch).alias("batch")).distinct().write.mode("append").json(path)
 
 
 def calibrated(raw: DataFrame, calibration: DataFrame, bands=None) -> DataFrame:

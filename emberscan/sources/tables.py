@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,14 @@ def append_aligned(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = SCHEMA) -> DataFrame:
-    """Detections from CSV with header: rows with too many fields go, short ones are padded."""
+    """Detections from CSV with header: rows with too many fields go, short ones are padded; no rows without the path."""
     marked = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    df = spark.read.schema(marked).option("header", True).option("columnNameOfCorruptRecord", "_broken").option("enforceSchema", True).csv(path)
+    try:
+        df = spark.read.schema(marked).option("header", True).option("columnNameOfCorruptRecord", "_broken").option("enforceSchema", True).csv(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
     fields = F.size(F.split("_broken", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
     df = df.filter(F.col("_broken").isNull() | (fields <= len(schema)))
     return df.select(*[C.clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in schema])
@@ -53,15 +58,39 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    """Partitioned by date; only the partitions written are replaced."""
+def append_csv(df: DataFrame, path: str) -> None:
+    """Append to a CSV table with header, or begin it: its columns in their order, NULL where ``df`` lacks one.
+
+    Parts of a table share one header, so columns that are only in ``df`` come last,
+    and rows written earlier are short by them, which ``read_csv`` pads.
+    """
+    spark = df.sparkSession
+    try:
+        have = spark.read.option("header", True).csv(path).columns
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        have = []
+    old = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in have]
+    write_csv(df.select(*old, *[F.col(f"`{c}`") for c in df.columns if c not in have]), path, "append")
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Partitioned by date; ``overwrite`` replaces the whole table, ``append`` adds to it."""
     out = df.withColumn("date", F.to_date("datetime_utc"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    out.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
 
 
-# KML colours (aabbggrr) by class.
-COLOURS = {"gas_flare": "ff0000ff", "industrial_or_large_fire": "ff007fff"}
+# KML colours (aabbggrr) by class: red, orange, and yellow for the others.
+COLOURS = {"gas_flare": "ff0000ff", "biomass_burning": "ff00a5ff"}
 OTHER_COLOUR = "ff00ffff"
+KML_NAME = "Night-time combustion sources"
+
+
+def _fixed(c: str, digits: int) -> Column:
+    """A number with fixed digits, half to even; a missing one is written as nan."""
+    # rounded before formatting, as the formatter rounds half up
+    return F.coalesce(F.format_string(f"%.{digits}f", F.rint(F.col(c) * 10**digits) / 10**digits), F.lit("nan"))
 
 
 def kml_rows(df: DataFrame) -> DataFrame:
@@ -70,11 +99,11 @@ def kml_rows(df: DataFrame) -> DataFrame:
     for k, v in COLOURS.items():
         colour = colour.when(F.col("classification") == k, v)
     return df.filter("temperature_K is not null").select(
-        # rounded half to even before formatting, as the formatter rounds half up
-        F.format_string("%.0fK, %.2fMW", F.rint("temperature_K"), F.rint(F.col("radiant_heat_MW") * 100) / 100).alias("name"),
-        F.concat_ws(
-            "\n", F.format_string("Temperature: %.0f K", "temperature_K"), F.format_string("Radiant heat: %.2f MW", "radiant_heat_MW"),
-            F.format_string("Source area: %.2f m2", "source_area_m2"), F.concat(F.lit("Class: "), F.col("classification")),
+        F.concat(_fixed("temperature_K", 0), F.lit("K, "), _fixed("radiant_heat_MW", 2), F.lit("MW")).alias("name"),
+        F.concat(
+            F.lit("Temperature: "), _fixed("temperature_K", 0), F.lit(" K\nRadiant Heat: "), _fixed("radiant_heat_MW", 2),
+            F.lit(" MW\nSource Area: "), _fixed("source_area_m2", 1), F.lit(" m²\nClassification: "),
+            F.coalesce("classification", F.lit("unknown")), F.lit("\n"),
         ).alias("description"),
         colour.otherwise(OTHER_COLOUR).alias("colour"), "longitude", "latitude",
     )
@@ -93,5 +122,12 @@ def kml_marks(df: DataFrame) -> DataFrame:
 
 
 def write_kml(df: DataFrame, path: str) -> None:
-    """Placemarks as text parts; readers join them between the document's first and last line."""
-    kml_marks(df).write.mode("overwrite").text(path)
+    """A KML document as numbered text parts: head, placemarks, foot; ``cat`` of the parts in order is valid XML.
+
+    The head and the foot are partitions of their own around those of the
+    placemarks, which stay as distributed as ``df``.
+    """
+    spark = df.sparkSession
+    line = lambda text: spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+    head = (f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{KML_NAME}</name>')
+    line(head).unionByName(kml_marks(df)).unionByName(line("</Document></kml>")).write.mode("overwrite").text(path)

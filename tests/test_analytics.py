@@ -82,3 +82,28 @@ def test_map_extent(spark):
     df = rows(spark, (1, 31.0, 900.0, 1.0), (1, 33.0, 900.0, 1.0))
     assert tuple(A.map_extent(df).first()) == (30.5, 33.5, -103.5, -102.5)
     assert tuple(A.map_extent(df, (1, 2, 3, 4)).first()) == (1.0, 2.0, 3.0, 4.0)
+
+
+def test_persistence_keeps_detections_without_coordinates(spark):
+    df = rows(spark, (1, 31.0, 900.0, 1.0), (2, None, 900.0, 1.0), (2, None, 950.0, 1.0))
+    got = {(r.latitude, r.temperature_K): (r.days_seen, r.persistence) for r in A.with_persistence(df).collect()}
+    assert got == {(31.0, 900.0): (1, 50.0), (None, 900.0): (1, 50.0), (None, 950.0): (1, 50.0)}
+
+
+def test_quantiles_by_brackets(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(A, "SORTED_VALUES", 50)
+    rng = np.random.default_rng(1)
+    for values in (rng.gamma(1, 3, 5000), np.round(rng.gamma(1, 3, 5000), 1), np.full(500, 7.0), np.r_[np.zeros(4990), np.arange(10.0)], np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        for q in (0.0, 0.5, 0.98, 1.0):
+            assert A.exact_quantile(df, "x", q) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert A.exact_quantile(df.limit(0), "x", 0.5) is None
+
+
+def test_histogram_takes_its_edges_from_the_data(spark):
+    df = rows(spark, *[(1, 31.0, 900.0, x) for x in (-2.0, 0.0, 3.0, 8.0, 50.0)])
+    assert {r.bin: r.n for r in A.histogram(df, "radiant_heat_MW", bins=2, below=10).collect()} == {0: 2, 1: 2}
+    assert [(r.bin, r.n) for r in A.histogram(df, "temperature_K").collect()] == [(0, 5)]
+    assert A.histogram(df.limit(0), "temperature_K").count() == 0

@@ -83,3 +83,46 @@ def test_usable_radiances(spark):
     got = [[(x["band"], x["obs"]) for x in r.b] for r in df.collect()]
     assert got[0] == [("M07", 1.0), ("M10", 2.0), ("M12", 3.0)]
     assert [b for b, _ in got[1]] == ["M07", "M08", "M10", "M11"]
+
+
+def test_windows_give_what_passes_give(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    px = raster(spark, rng.gamma(2, 1, (20, 30))).unionByName(raster(spark, rng.gamma(1, 9, (9, 30)), key="h"))
+    px = px.withColumn("M11", F.when(F.col("col") % 7 != 0, F.col("M11") * 3))
+    one = sorted(map(str, D.clip_stats(px, ("M10", "M11")).select(*[F.round(c, 9) if c[:2] in ("me", "st") else c for c in D.clip_stats(px, ("M10", "M11")).columns]).collect()))
+    monkeypatch.setattr(D.shared, "BROADCAST_ROWS", 0)
+    two = sorted(map(str, D.clip_stats(px, ("M10", "M11")).select(*[F.round(c, 9) if c[:2] in ("me", "st") else c for c in D.clip_stats(px, ("M10", "M11")).columns]).collect()))
+    assert one == two and len(one) == 2
+
+
+def test_both_bands_in_one_pass(spark):
+    m = np.random.default_rng(4).gamma(2, 1, (15, 20))
+    m[3, 4] = 500
+    px = raster(spark, m).withColumn("M11", F.col("M11") * 2 + 1)
+    both = D.clip_stats(px, ("M10", "M11"))
+    for b in ("M10", "M11"):
+        got, want = D.band_stats(both, b).first(), D.zonal_stats(px, b).first()
+        assert got.n_pixels == want.n_pixels and got.threshold == pytest.approx(want.threshold)
+
+
+def test_detections_scan_the_pixels_a_few_times_and_shuffle_none(spark, tmp_path):
+    """Counts scans by a listener on executed plans, with automatic broadcasts off."""
+    from emberscan.plans import detection, views
+
+    views.pixels(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    n = px.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert detection.detections(px).count() >= 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(int(before), runs.size())]
+    final = [p.split("== Initial Plan ==")[0] for p in plans]
+    scans = sum(line.startswith("Location:") and str(tmp_path) in line for p in plans for line in p.splitlines())
+    assert 3 <= scans <= 6, scans
+    assert n and not any("SortMergeJoin" in p and str(tmp_path) in p for p in final)

@@ -109,6 +109,9 @@ def test_kml(spark):
     )
     got = tables.kml_rows(df).collect()
     assert len(got) == 1 and got[0].name == "1800K, 1.50MW" and got[0].colour == "ff0000ff"
+    assert got[0].description == "Temperature: 1800 K\nRadiant Heat: 1.50 MW\nSource Area: 2.0 m²\nClassification: gas_flare\n"
+    others = [df.withColumn("classification", F.lit(c)) for c in ("biomass_burning", "industrial_or_large_fire", "a<b>&c")]
+    assert [tables.kml_rows(o).first().colour for o in others] == ["ff00a5ff", "ff00ffff", "ff00ffff"]
     assert "<coordinates>-103.0,31.0,0</coordinates>" in tables.kml_marks(df).first().value
 
 
@@ -128,11 +131,28 @@ def test_detections_schema(spark, pixels):
 def test_incremental_is_idempotent(spark, pixels, tmp_path):
     table, log = str(tmp_path / "table"), str(tmp_path / "log")
     steps = []
+    assert incremental.read_detections(spark, table, log).count() == 0
     assert incremental.run_new(pixels, table, log, progress=lambda *a: steps.append(a)).count() == 1
-    first = spark.read.parquet(table).count()
+    first = incremental.read_detections(spark, table, log).count()
     assert incremental.run_new(pixels, table, log).count() == 0
-    incremental.write_by_granule(detections(pixels), table)
-    assert spark.read.parquet(table).count() == first > 0 and steps[0][:2] == (0, 1)
+    incremental.write_batch(detections(pixels), table, "crashed")  # written, never logged
+    assert incremental.read_detections(spark, table, log).count() == first > 0 and steps[0][:2] == (0, 1)
+    incremental.write_batch(detections(pixels), table, "ffff")
+    granules.log_processed(spark.createDataFrame([("0",)], "granule_key string"), log, "zzzz")  # a second run of the same granule
+    assert incremental.read_detections(spark, table, log).count() == first
+
+
+def test_an_unreadable_granule_stays_pending(spark, pixels, tmp_path):
+    table, log = str(tmp_path / "table"), str(tmp_path / "log")
+    marked = pixels.withColumn("granule_key", F.col("granule_key").cast("string")).withColumn("error", F.lit(None).cast("string"))
+    torn = marked.limit(5).withColumn("granule_key", F.lit("torn"))
+    bad = marked.limit(1).select(*[(F.lit("torn") if c == "granule_key" else F.lit("broken") if c == "error" else F.lit(None).cast(t)).alias(c) for c, t in marked.dtypes])
+    both = marked.unionByName(torn).unionByName(bad)
+    assert [r[0] for r in incremental.run_new(both, table, log).collect()] == ["0"]
+    assert [tuple(r) for r in incremental.failures(both).collect()] == [("torn", "broken")]
+    mended = torn.withColumn("granule_key", F.lit("torn"))
+    assert [r[0] for r in incremental.run_new(mended, table, log).collect()] == ["torn"]
+    assert incremental.failures(pixels).count() == 0
 
 
 def test_stream_follows_a_folder(spark, pixels, tmp_path):
@@ -140,7 +160,7 @@ def test_stream_follows_a_folder(spark, pixels, tmp_path):
     pixels.write.parquet(folder)
     q = incremental.follow(spark, folder, pixels.schema, table, log, str(tmp_path / "ckpt"))
     assert q.awaitTermination(120)
-    assert spark.read.parquet(table).count() > 0 and granules.read_processed(spark, log).count() == 1
+    assert incremental.read_detections(spark, table, log).count() > 0 and granules.read_processed(spark, log).count() == 1
 
 
 def test_hourly_stream(spark, tmp_path):
@@ -150,3 +170,44 @@ def test_hourly_stream(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.table("hh").first()
     assert (r.basin, r.sum_rh, r.n) == ("Permian", 2.0, 1)
+
+
+def test_kml_document_is_valid(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    rows = [(1800.4 + k, 1.5, None if k else 2.0, "a<b>&c", -103.0, 31.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "temperature_K double, radiant_heat_MW double, source_area_m2 double, classification string, longitude double, latitude double")
+    tables.write_kml(df.repartition(3), str(tmp_path / "kml"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "kml").glob("part-*")))
+    root = ET.fromstring(text.encode())
+    marks = root.findall(".//{http://www.opengis.net/kml/2.2}Placemark")
+    assert len(marks) == 50 and "a<b>&c" in marks[0][1].text
+
+
+def test_missing_csv_and_append(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.read_csv(spark, path).count() == 0 and tables.read_csv(spark, path).columns == tables.SCHEMA.names
+    first = tables.aligned(spark.createDataFrame([(1, 2.0)], "row int, temperature_K double"))
+    tables.append_csv(first, path)
+    late = spark.createDataFrame([(3.0, 7, True, 2)], "temperature_K double, n_bands_used int, detected_M12 boolean, row int")
+    tables.append_csv(late, path)
+    got = {r.row: (r.temperature_K, r.n_bands_used, r.detected_M12) for r in tables.read_csv(spark, path).collect()}
+    assert got == {1: (2.0, None, None), 2: (3.0, 7, True)}
+
+
+def test_parquet_overwrite_leaves_no_stale_dates(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([("2024-01-01 00:00:00", 1), ("2024-01-02 00:00:00", 2)], "t string, row int").select(F.col("t").cast("timestamp").alias("datetime_utc"), "row")
+    tables.write_parquet(df, path)
+    tables.write_parquet(df.filter("row = 2"), path)
+    assert [r.row for r in spark.read.parquet(path).collect()] == [2]
+    tables.write_parquet(df.filter("row = 2"), path, "append")
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_site_key(spark):
+    from emberscan.functions import columns as C
+
+    df = spark.createDataFrame([(31.0, -103.0), (None, 1.0)], "a double, b double").select(C.site_key(F.col("a"), F.col("b")).alias("k"), C.site_text(F.col("a"), F.col("b")).alias("t"))
+    got = df.collect()
+    assert got[0].k.count(",") == 1 and got[0].t == "4133,-13733" and got[1].k is None
