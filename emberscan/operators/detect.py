@@ -7,6 +7,8 @@ one plan; the granule is a grouping column.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def clip_stats(pixels: DataFrame, bands=("M10",), zone: Column | None = None) ->
     Clipping is one-sided, so what is left after k rounds are the values below
     the least cutoff so far: the state is one row per granule and zone.  Each
     round is a partially aggregated pass over the region's pixels for all bands at
-    once; its few rows are checkpointed, counted and broadcast to the next, so no
-    pixel is shuffled, and rounds end when no zone loses a value.  Where the
-    rows are too many to broadcast, windows do it with one shuffle instead.
+    once; its rows, at most ``BROADCAST_ROWS``, are broadcast to the next, so no
+    pixel is shuffled, and rounds end when no zone loses a value.  Where there are
+    more, windows do it with one shuffle instead.
     """
     zone = C.zone(F.col("col")) if zone is None else zone
     positive = [F.when(F.col(b) > 0, F.col(b)).alias(b) for b in bands]
@@ -51,10 +53,10 @@ def clip_stats(pixels: DataFrame, bands=("M10",), zone: Column | None = None) ->
         F.col("zone").isNotNull() & F.coalesce(*[F.col(b) for b in bands]).isNotNull()
     )
     key = ["granule_key", "zone"]
-    stats = checkpoint(rows.groupBy(*key).agg(*_moments(bands, {b: F.col(b) for b in bands})))
-    count = stats.count()
-    if count > shared.BROADCAST_ROWS:
+    found = _few(rows.groupBy(*key).agg(*_moments(bands, {b: F.col(b) for b in bands})))
+    if found is None:
         return _clipped(rows, bands)
+    stats = pixels.sparkSession.createDataFrame(found)
     for k in range(K.CLIP_ROUNDS):
         cuts = []
         for b in bands:
@@ -63,12 +65,19 @@ def clip_stats(pixels: DataFrame, bands=("M10",), zone: Column | None = None) ->
         joined = rows.join(F.broadcast(stats.select(*key, *cuts)), key)
         kept = {b: F.when(F.col(f"cut_{b}").isNull() | (F.col(b) < F.col(f"cut_{b}")), F.col(b)) for b in bands}
         before = [F.first(f"{n}_{b}").alias(f"{n}_{b}") for b in bands for n in ("cut", "was")]
-        stats = checkpoint(joined.groupBy(*key).agg(*_moments(bands, kept), *before))
-        if stats.filter(" or ".join(f"n_{b} < was_{b}" for b in bands)).isEmpty():
+        found = _few(joined.groupBy(*key).agg(*_moments(bands, kept), *before))
+        stats = pixels.sparkSession.createDataFrame(found)
+        if not any(pc.any(pc.less(found[f"n_{b}"], found[f"was_{b}"])).as_py() for b in bands):
             break
     return stats.select(*key, *[f"{n}_{b}" for b in bands for n in ("mean", "std", "n")])
 
 
+def _few(stats: DataFrame) -> pa.Table | None:
+    """The rows on the driver, from one job; None if there are more than may be broadcast."""
+    rows = stats.limit(shared.BROADCAST_ROWS + 1).toArrow()
+    return rows if rows.num_rows <= shared.BROADCAST_ROWS else None
+
+
 def band_stats(stats: DataFrame, band: str) -> DataFrame:
     """(granule_key, zone, mean, std, threshold, n_pixels) of one band of ``clip_stats``."""
     mean, std, n = (F.col(f"{x}_{band}") for x in ("mean", "std", "n"))
@@ -94,14 +103,15 @@ def row_major(found: DataFrame) -> DataFrame:
     return found.orderBy("granule_key", "row", "col")
 
 
-def local_background(pixels: DataFrame, hot: DataFrame, half: int = K.HALF_WINDOW) -> DataFrame:
+def local_background(pixels: DataFrame, hot: DataFrame, half: int = K.HALF_WINDOW, written: bool = False) -> DataFrame:
     """(granule_key, row, col, n_bg, bg_m12, sd_m12, bg_m13, detected_M12) of every hot pixel.
 
-    The square window is an equi-join: each hot pixel, materialised once, is spread over the offsets
+    The square window is an equi-join: each hot pixel, materialised once (unless ``written`` says it is), is spread over the offsets
     of its window and meets the pixels by position; hot pixels are no background.
     """
     key = ["granule_key", "row", "col"]
-    own = checkpoint(hot.select(*key, F.col("M12").alias("own")))
+    own = hot.select(*key, F.col("M12").alias("own"))
+    own = own if written else checkpoint(own)
     n = own.count()
     spots = own.select(*key).distinct()
     offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))

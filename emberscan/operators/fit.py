@@ -33,33 +33,41 @@ def planck(w: np.ndarray, t: np.ndarray) -> np.ndarray:
         return 2e-6 * K.PLANCK_H * K.LIGHT_C**2 / w**5 / np.expm1(x)
 
 
-def _profile(w, obs, ok, t):
-    """(cost, esf) at temperatures t, for rows of padded bands."""
-    scale = obs + TINY
-    r = np.where(ok, planck(w, t[:, None]) / scale, 0)
-    r0 = np.where(ok, obs / scale, 0)
-    square = (r * r).sum(axis=1)
-    esf = np.clip((r0 * r).sum(axis=1) / np.maximum(square, 1e-300), *K.FIT_ESF)
-    res = np.where(ok, esf[:, None] * r - r0, 0)
+def _profile(wave, inv, r0, t):
+    """(cost, esf) at a temperature for each row; ``inv`` and ``r0`` are 0 where a band is missing."""
+    r = planck(wave, t[:, None]) * inv
+    esf = np.clip((r0 * r).sum(axis=1) / np.maximum((r * r).sum(axis=1), 1e-300), *K.FIT_ESF)
+    res = esf[:, None] * r - r0
     return 0.5 * (res * res).sum(axis=1), esf
 
 
-def fit_arrays(w: np.ndarray, obs: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(temperature, esf, cost) of each row of padded (rows, bands) arrays."""
-    n = len(w)
-    best_t, best = np.full(n, K.FIT_T[0]), np.full(n, np.inf)
-    for t in np.arange(K.FIT_T[0], K.FIT_T[1] + 1, GRID_STEP):
-        cost, _ = _profile(w, obs, ok, np.full(n, t))
-        better = cost < best
-        best_t, best = np.where(better, t, best_t), np.where(better, cost, best)
-    a, b = np.maximum(best_t - GRID_STEP, K.FIT_T[0]), np.minimum(best_t + GRID_STEP, K.FIT_T[1])
+def fit_arrays(wave: np.ndarray, obs: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(temperature, esf, cost) of each row of (rows, bands) radiances.
+
+    The grid's radiances are the same for all rows, so its costs are matrix
+    products; the bracket around its best is searched by golden section.
+    """
+    used = ok.any(axis=0)
+    wave, obs, ok = wave[used], obs[:, used], ok[:, used]
+    inv, r0 = (np.where(ok, v / (obs + TINY), 0.0) for v in (1.0, obs))
+    grid = np.arange(K.FIT_T[0], K.FIT_T[1] + 1, GRID_STEP)
+    table = planck(wave[:, None], grid[None, :])
+    both, square = (r0 * inv) @ table, (inv * inv) @ (table * table)
+    esf = np.clip(both / np.maximum(square, 1e-300), *K.FIT_ESF)
+    best = grid[(esf * (esf * square - 2 * both)).argmin(axis=1)]
+    a, b = np.maximum(best - GRID_STEP, K.FIT_T[0]), np.minimum(best + GRID_STEP, K.FIT_T[1])
     g = (np.sqrt(5) - 1) / 2
-    for _ in range(48):
-        c, d = b - g * (b - a), a + g * (b - a)
-        left = _profile(w, obs, ok, c)[0] <= _profile(w, obs, ok, d)[0]
+    c, d = b - g * (b - a), a + g * (b - a)
+    at_c, at_d = (_profile(wave, inv, r0, x)[0] for x in (c, d))
+    for _ in range(40):
+        left = at_c <= at_d
         a, b = np.where(left, a, c), np.where(left, d, b)
+        new = np.where(left, b - g * (b - a), a + g * (b - a))
+        at = _profile(wave, inv, r0, new)[0]
+        c, d = np.where(left, new, d), np.where(left, c, new)
+        at_c, at_d = np.where(left, at, at_d), np.where(left, at_c, at)
     t = (a + b) / 2
-    cost, esf = _profile(w, obs, ok, t)
+    cost, esf = _profile(wave, inv, r0, t)
     return t, esf, cost
 
 
@@ -74,14 +82,14 @@ def fit_matrix(obs: np.ndarray) -> dict[str, np.ndarray]:
     """
     ok = np.isfinite(obs) & (obs > 0)
     clean = np.where(ok, obs, 1.0)
-    w = np.broadcast_to(np.array([K.WAVELENGTHS[b] for b in K.BANDS]), obs.shape)
-    t, esf, cost = fit_arrays(w, clean, ok)
+    wave = np.array([K.WAVELENGTHS[b] for b in K.BANDS])
+    t, esf, cost = fit_arrays(wave, clean, ok)
     brightest = np.where(ok, obs, -np.inf).argmax(axis=1)
     rows = np.arange(len(obs))
-    start = clean[rows, brightest] / planck(w[rows, brightest], np.full(len(obs), K.FIT_START_T))
+    start = clean[rows, brightest] / planck(wave[brightest], np.full(len(obs), K.FIT_START_T))
     code = np.where(ok.sum(axis=1) < 2, 1, np.where(start > K.FIT_ESF[1], 2, 0))
     with np.errstate(invalid="ignore"):
-        residual = np.where(ok, esf[:, None] * planck(w, t[:, None]) - obs, np.nan)
+        residual = np.where(ok, esf[:, None] * planck(wave, t[:, None]) - obs, np.nan)
     return {"t": t, "esf": esf, "cost": cost, "code": code, "residual": residual}
 
 
@@ -177,24 +185,33 @@ def grid_fit(bands: dict[str, Column], step: int = 20) -> Column:
             out = out + x
         return out
 
-    def at(x: Column) -> Column:
-        # a band that is missing adds nothing
-        r = {b: F.coalesce(x[b] / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
-        r0 = {b: F.coalesce(o / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
-        esf = total([r0[b] * r[b] for b in bands]) / total([r[b] * r[b] for b in bands])
-        esf = F.least(F.greatest(esf, F.lit(K.FIT_ESF[0])), F.lit(K.FIT_ESF[1]))
-        return F.struct(x["t"].alias("t"), esf.alias("esf"), *[r[b].alias(b) for b in bands])
+    def best(k: Column) -> Column:
+        def at(x: Column) -> Column:
+            r = {b: x[b] * k[f"i_{b}"] for b in bands}
+            esf = total([k[f"r_{b}"] * r[b] for b in bands]) / total([r[b] * r[b] for b in bands])
+            esf = F.least(F.greatest(esf, F.lit(K.FIT_ESF[0])), F.lit(K.FIT_ESF[1]))
+            return F.struct(x["t"].alias("t"), esf.alias("esf"), *[r[b].alias(b) for b in bands])
+
+        def cost(x: Column) -> Column:
+            res = [x["esf"] * x[b] - k[f"r_{b}"] for b in bands]
+            return F.struct((total([v * v for v in res]) * 0.5).alias("cost"), x["t"].alias("t"), x["esf"].alias("esf"))
+
+        return F.array_min(F.transform(F.transform(table, at), cost))
+
+    # what depends on the row alone is worked out once; a band that is missing adds nothing
+    known = [F.coalesce(v / (o + TINY), F.lit(0.0)).alias(f"{n}_{b}") for b, o in bands.items() for n, v in (("i", F.lit(1.0)), ("r", o))]
+    return F.transform(F.array(F.struct(*known)), best)[0]
 
-    def cost(x: Column) -> Column:
-        res = {b: x["esf"] * x[b] - F.coalesce(o / (o + TINY), F.lit(0.0)) for b, o in bands.items()}
-        return F.struct((total([v * v for v in res.values()]) * 0.5).alias("cost"), x["t"].alias("t"), x["esf"].alias("esf"))
 
-    return F.array_min(F.transform(F.transform(table, at), cost))
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores: a fit costs far more than moving its few numbers, and small files make few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def with_fit(candidates: DataFrame) -> DataFrame:
     """Fit columns, class and number of bands beside each row with ``fit_bands``."""
-    df = candidates.withColumn("fit", planck_fit(F.col("fit_bands")))
+    df = spread(candidates).withColumn("fit", planck_fit(F.col("fit_bands")))
     ok = F.col("fit.success")
     t = F.when(ok, F.col("fit.temperature_K"))
     return df.select(

@@ -21,7 +21,7 @@ def candidates(pixels: DataFrame, box=K.CONUS, zone: Column | None = None) -> Da
     stats = detect.clip_stats(roi, ("M10", "M11"), zone)
     hot = checkpoint(detect.hot_pixels(roi, detect.band_stats(stats, "M10"), "M10", zone).drop("threshold"))
     confirm = detect.band_stats(stats, "M11").select("granule_key", "zone", F.col("threshold").alias("m11_limit"))
-    back = detect.local_background(roi, hot)
+    back = detect.local_background(roi, hot, written=True)
     out = hot.join(confirm, ["granule_key", "zone"], "left").join(back, ["granule_key", "row", "col"])
     out = out.withColumn("detected_M11", F.coalesce(F.col("M11") > F.col("m11_limit"), F.lit(False)))
     return out.withColumn("fit_bands", detect.usable_radiances(F.col("bg_m12").isNotNull())).drop("m11_limit", "zone")

@@ -86,13 +86,13 @@ def _sources(s, d):
 
 
 def planck_fit_grid(s, d):
-    best = _sources(s, d).select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
+    best = fit.spread(_sources(s, d)).select("event_id", fit.grid_fit({b: F.col(b) for b in oracle.SOURCE_BANDS}).alias("g"))
     return best.select("event_id", F.col("g.t").cast("int").alias("temperature_K"), F.round(F.log10("g.esf"), 6).alias("log_esf"))
 
 
 def planck_fit(s, d):
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(K.WAVELENGTHS[b]).alias("w"), F.col(b).alias("obs")) for b in oracle.SOURCE_BANDS])
-    return _sources(s, d).select("event_id", fit.planck_fit(bands).alias("f")).select("event_id", "f.*")
+    return fit.spread(_sources(s, d)).select("event_id", fit.planck_fit(bands).alias("f")).select("event_id", "f.*")
 
 
 def detections(s, d):
