@@ -44,7 +44,7 @@ from .common import checkpoint, drop_checkpoint, sampled, small_batches
 
 #: Bounds of what a fit sees, and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, CANDIDATES, ENTRIES = 4000, 8000, 30_000, 4000
-STEMS, LEAST_DOCS, LEAST_PHRASE, LEAST_WEIGHT = (4, 5), 2, 5, 1.5
+STEMS, LEAST_DOCS, LEAST_PHRASE, LEAST_WEIGHT = (4, 5), 3, 5, 1.5
 
 # What stands for a letter.
 DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
