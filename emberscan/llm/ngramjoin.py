@@ -61,6 +61,8 @@ from .common import checkpoint, connected_components, delete_path, drop_checkpoi
 SHINGLE, PERCENT = 3, 90
 #: Shingles per tile, small sets counting as SMALL; a pair of tiles is a task's largest unit.
 TILE, SMALL = 1 << 20, 1 << 10
+#: Tasks that the sets of a group above a tile's size are dealt to where they first meet the group's row.
+SALTS = 64
 #: Ways of cutting sets into parts, each for the sets that all before fail.
 LEVELS = 4
 #: About how many texts frequent shingles are counted in, how many must hold one, and how many shingles are kept.
@@ -381,7 +383,10 @@ def star_links(groups: DataFrame, data: DataFrame, percent: int, exact: bool, we
     large = checkpoint(large.withColumn("parts", F.ceil(F.col("w") / tile).cast("int")))
     if large.isEmpty():
         return None
-    inside = groups.join(large, "grp")
+    # each large group's row stands once for every salt, so that no task of the join holds a whole group
+    spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int")
+    inside = groups.withColumn("salt", salt).join(spread, ["grp", "salt"]).drop("salt")
     centre = inside.groupBy("grp", "parts").agg(F.min_by(F.struct("id", "n"), F.struct(F.abs(F.col("n") - F.col("mid")), F.col("id"))).alias("c"))
     centre = centre.select("grp", "parts", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")).join(
         data.select(F.col("id").alias("centre"), F.col("data").alias("cdata")), "centre"
