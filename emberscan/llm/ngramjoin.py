@@ -47,6 +47,7 @@ gives no rows.  For ``keep_one`` rows are one document only if doc_id and text a
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -63,6 +64,8 @@ SHINGLE, PERCENT = 3, 90
 TILE, SMALL = 1 << 20, 1 << 10
 #: Tasks that the sets of a group above a tile's size are dealt to where they first meet the group's row.
 SALTS = 64
+#: Shares of the keys whose minima are found one after the other.
+PASSES = 2
 #: Ways of cutting sets into parts, each for the sets that all before fail.
 LEVELS = 4
 #: About how many texts frequent shingles are counted in, how many must hold one, and how many shingles are kept.
@@ -414,14 +417,22 @@ def links_of_groups(groups: DataFrame, data: DataFrame, percent: int, exact: boo
 
 
 def chains(keys: DataFrame) -> DataFrame:
-    """(key, id) -> (src, dst): each id with the smallest of each key that it shares; ``keys`` is read twice.
+    """(key, id) -> (src, dst): each id with the smallest of each key that it shares; ``keys`` is read 1 + ``PASSES`` times.
 
     A key that many hold is one row per task before the shuffle of the minima, and
-    many rows that meet one row in the join, which Spark can split.
+    many rows that meet one row in the join, which Spark can split.  The minima
+    are found for one share of the keys after the other, so that only one share is on disk as shuffle files.
     """
-    shared = keys.groupBy("key").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top").select("key", "dst")
-    shared = checkpoint(shared)
-    bits = keys.sparkSession.sparkContext.broadcast(hash_filter(shared.select("key"), shared.count()))
+    spark = keys.sparkSession
+    shares = []
+    for k in range(PASSES):
+        mine = keys.filter(F.pmod("key", F.lit(PASSES)) == k)
+        mine = mine.groupBy("key").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top").select("key", "dst")
+        shares.append(checkpoint(mine))
+        del mine
+        free_shuffles(spark)
+    shared = functools.reduce(DataFrame.unionByName, shares)
+    bits = spark.sparkContext.broadcast(hash_filter(shared.select("key"), shared.count()))
 
     def held(batches):
         for batch in batches:
