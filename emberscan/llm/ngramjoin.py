@@ -65,7 +65,7 @@ TILE, SMALL = 1 << 20, 1 << 10
 #: Tasks that the sets of a group above a tile's size are dealt to where they first meet the group's row.
 SALTS = 64
 #: Shares of the keys whose minima are found one after the other.
-PASSES = 4
+PASSES = 2
 #: Ways of cutting sets into parts, each for the sets that all before fail.
 LEVELS = 4
 #: About how many texts frequent shingles are counted in, how many must hold one, and how many shingles are kept.
@@ -495,7 +495,6 @@ def _components(docs: DataFrame, n: int, percent: int, tie_ids: bool) -> tuple[D
     path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
     filed = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
     filed.write.parquet(path)
-    free_shuffles(spark)  # what came before need not lie beside the shuffles of the keys
     found = checkpoint(chains(spark.read.schema("key long, id long").parquet(path)))
     delete_path(spark, path)
     free_shuffles(spark)
