@@ -124,11 +124,16 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
+#: Words of a filter that go to the driver as one value.
+SLICE = 1 << 8
+
+
 def hash_filter(hashes: DataFrame, n: int = 0) -> np.ndarray:
     """Bitmap over a frame of one column of 64-bit hashes, about ``n`` of them.
 
-    Built on the executors; the driver gets its used words alone, at most
-    ``MOST_BITS`` / 64 of them.  It only spares work: a full one lets all pass.
+    Built and packed on the executors; the driver gets the bytes of its used slices,
+    ``MOST_BITS`` / 8 at most, as Arrow and never a row for each word.  It only
+    spares work: a full one lets all pass.
     """
     bits = filter_bits(n)
 
@@ -143,10 +148,22 @@ def hash_filter(hashes: DataFrame, n: int = 0) -> np.ndarray:
             at = used[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["word", "bits"])
 
-    got = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(bits // 64, np.int64)
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return words.view(np.uint8)
+    def packed(batches):
+        rows = np.zeros((bits // 64 // SLICE, SLICE), np.int64)
+        for b in batches:
+            np.bitwise_or.at(rows.reshape(-1), b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
+        used = np.flatnonzero(rows.any(axis=1))
+        for i in range(0, len(used), 1 << 10):
+            at = used[i : i + (1 << 10)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in rows[at]], pa.binary())], ["slice", "data"])
+
+    words = hashes.mapInArrow(run, "word long, bits long").repartition(F.expr(f"word div {SLICE}"))
+    got = words.mapInArrow(packed, "slice long, data binary").toArrow()
+    out = np.zeros((bits // 64 // SLICE, SLICE), np.int64)
+    for b in got.to_batches():
+        for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+            out[k] = np.frombuffer(x.as_buffer(), np.int64)
+    return out.reshape(-1).view(np.uint8)
 
 
 def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:

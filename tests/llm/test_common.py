@@ -46,6 +46,23 @@ def test_filter_has_no_false_negatives(spark):
     assert not C.in_filter(C.hash_filter(ids.limit(0)), h).any()
 
 
+def test_filter_comes_to_the_driver_packed(spark, monkeypatch):
+    """No frame with a row for each word of the filter reaches the driver."""
+    brought, kind = [], type(spark.range(0))
+    for name in ("toPandas", "toArrow", "collect"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **b: brought.append(len(got := f(self, *a, **b))) or got)
+    n = 200_000
+    ids = spark.range(n).select(F.xxhash64("id").alias("h")).repartition(5)
+    for said in (n, 6 * n):
+        brought.clear()
+        bits = C.hash_filter(ids, said)
+        assert 0 < sum(brought) <= len(bits) // 2048
+        want = np.zeros(8 * len(bits), bool)
+        want[C._slots(np.array([r.h for r in ids.collect()]), 8 * len(bits))] = True
+        assert 8 * len(bits) == C.filter_bits(said)
+        assert np.array_equal(bits, np.packbits(want, bitorder="little"))
+
+
 def test_sample_does_not_depend_on_partitions(spark):
     df = spark.range(10_000).withColumnRenamed("id", "doc_id")
     one = sorted(r.doc_id for r in C.sampled(df.repartition(3), F.col("doc_id"), 100).collect())
