@@ -53,6 +53,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
     chosen = texts.select("text_hash", "text").dropDuplicates(["text_hash"])
     found = chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT_TEXTS)
-    got = found.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
+    got = found.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toArrow()["h"].to_numpy()
     return np.sort(got.astype(np.uint64))
 
 
@@ -184,11 +185,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(id, shingles) of the members (doc_id, text_hash, id), from a second pass over the texts.
+def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, Broadcast]:
+    """(id, shingles) of the members (doc_id, text_hash, id), from a second pass over the texts, and a broadcast.
 
-    A broadcast bitmap of bounded size spares the shuffle of texts that are no
-    member's; the join removes what passed it by chance.
+    The broadcast bitmap of bounded size spares the shuffle of texts that are no
+    member's; the join removes what passed it by chance.  It can be destroyed
+    when the frame is read for the last time.
     """
     pair = F.xxhash64("doc_id", "text_hash")
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(pair), members.count()))
@@ -209,7 +211,7 @@ def _wanted_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 )
 
     sets = _texts(docs).filter("doc_id is not null").withColumn("_pair", pair).mapInArrow(run, "doc_id long, text_hash long, shingles binary")
-    return sets.join(members.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "shingles")
+    return sets.join(members.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"]).select("id", "shingles"), bits
 
 
 def band_of(size: int, percent: int) -> int:
@@ -417,7 +419,7 @@ def links_of_groups(groups: DataFrame, data: DataFrame, percent: int, exact: boo
 
 
 def chains(keys: DataFrame) -> DataFrame:
-    """(key, id) -> (src, dst): each id with the smallest of each key that it shares; ``keys`` is read 1 + ``PASSES`` times.
+    """(key, id) -> (src, dst), checkpointed: each id with the smallest of each key that it shares; ``keys`` is read 1 + ``PASSES`` times.
 
     A key that many hold is one row per task before the shuffle of the minima, and
     many rows that meet one row in the join, which Spark can split.  The minima
@@ -441,7 +443,9 @@ def chains(keys: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(hit))
 
     found = keys.mapInArrow(held, "key long, id long").join(shared, "key")
-    return found.filter("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+    found = checkpoint(found.filter("id <> dst").select(F.col("id").alias("src"), "dst").distinct())
+    bits.destroy()
+    return found
 
 
 def tile_work(members: DataFrame, percent: int, small: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -495,7 +499,8 @@ def _components(docs: DataFrame, n: int, percent: int, tie_ids: bool) -> tuple[D
     path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
     filed = _texts(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys(n, percent, frequent), "key long, id long")
     filed.write.parquet(path)
-    found = checkpoint(chains(spark.read.schema("key long, id long").parquet(path)))
+    frequent.destroy()
+    found = chains(spark.read.schema("key long, id long").parquet(path))
     delete_path(spark, path)
     free_shuffles(spark)
     name = classed.filter("id is not null").select("doc_id", "id").distinct()
@@ -511,12 +516,15 @@ def _components(docs: DataFrame, n: int, percent: int, tie_ids: bool) -> tuple[D
     drop_checkpoint(members)
     drop_checkpoint(rows)
     members = checkpoint(groups.join(rep, "id"))
-    sets = _wanted_sets(docs, members, n).dropDuplicates(["id"])
+    sets, bits = _wanted_sets(docs, members, n)
+    sets = sets.dropDuplicates(["id"])
     links = links_of_groups(members.select("id", "grp", "n"), sets.select("id", F.col("shingles").alias("data")), percent, exact=True)
     if tie_ids:
         several = classed.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("top")).filter("dst < top")
         links = links.unionByName(classed.join(several, "doc_id").select(F.col("id").alias("src"), "dst"))
-    return classed, low.select("id", "low_id"), connected_components(links)
+    found = connected_components(links)
+    bits.destroy()
+    return classed, low.select("id", "low_id"), found
 
 
 def link_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

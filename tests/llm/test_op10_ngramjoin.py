@@ -151,3 +151,17 @@ def test_large_groups_of_copies_of_copies(spark, monkeypatch):
             rows.append((g * 1000 + k, " ".join(base[: 120 - k % 5]), "en"))
     rng.shuffle(rows)
     assert run(docs(spark, rows).repartition(4), 3, 90) == brute([(d, t) for d, t, _ in rows], 3, 90)
+
+
+def test_filters_are_freed_and_no_shingle_list_is_merged_in_the_driver(spark, monkeypatch):
+    sent, sc, kind = [], spark.sparkContext, type(spark.range(0))
+    monkeypatch.setattr(sc, "broadcast", lambda value, f=sc.broadcast: sent.append(f(value)) or sent[-1])
+
+    def refused(self):
+        raise AssertionError("rows are brought to the driver as objects")
+
+    monkeypatch.setattr(kind, "toPandas", refused)
+    rows = corpus(5)
+    got = run(docs(spark, rows).repartition(4), 3, 90)
+    assert got == brute([(d, t) for d, t, _ in rows], 3, 90)
+    assert len(sent) == 3 and not any(b._jbroadcast.isValid() for b in sent)
